@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowdelta.llm import packing
+from rowdelta.llm import bpe, packing, scratch, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,5 +17,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op5_packing": op5_packing}
+#: Token counts above this one are marked.
+TOKEN_LIMIT = 2048
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a cache that starts empty, in the shared folder; a standing job names a lasting one."""
+    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), scratch.folder(spark, "cache"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents"))
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {
+    "op5_packing": op5_packing,
+    "op7_token_counts": op7_token_counts,
+    "op10_byte_bpe": op10_byte_bpe,
+}
 ORACLE: dict[str, str] = {}

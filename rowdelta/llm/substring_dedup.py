@@ -1,16 +1,17 @@
 """Repeated passages by content-defined chunks.
 
 A gear hash rolls over the bytes of a text; where its value meets a mask, a chunk may end, so boundaries depend on
-the last bytes alone and come back into step after an insertion. Chunks are deduplicated by a 128-bit digest: the first
-occurrence (least document id, then place) stays. A later one counts where it lies in a run of repeated chunks of at
-least LEAST bytes; shorter runs (a common line, a phrase) are left alone.
+the last bytes alone and come back into step after an insertion. Chunks are deduplicated by a 128-bit digest: the
+document of least id that has a chunk keeps it. Elsewhere it counts where it lies in a run of chunks shared between
+documents of at least LEAST bytes; shorter runs (a common line, a phrase) are left alone, as is what repeats in one
+document only.
 
 Counting a digest is a partial aggregate, so a passage that a third of all documents share is one row for each
 task; finding its occurrences is a join on the digest, which adaptive execution splits where it is skewed.
 
-Cases: a null or empty text has no chunks; rows with the same id count as one document, so an equal passage at the
-same place in both is one occurrence; a null id comes last among first occurrences; an empty table gives no rows;
-other columns are ignored, whatever their names. Spans are UTF-8 bytes, end exclusive.
+Cases: a null or empty text has no chunks; rows with the same id count as one document; a row without an id could not be
+named and is left out; an empty table gives no rows; other columns are ignored, whatever their names. Spans are UTF-8
+bytes, end exclusive.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from rowdelta.llm import arrow, scratch
 
 #: Bytes of a chunk, and of the window that the hash sees (not above the smallest chunk).
-SMALLEST, LARGEST, WINDOW = 16, 256, 16
-#: Bits of the hash that are zero at a boundary: one byte in 32. Bits from WINDOW up depend on the whole window.
-MASK = np.uint32(0b11111 << 20)
+SMALLEST, LARGEST, WINDOW = 24, 256, 16
+#: Bits of the hash that are zero at a boundary: one byte in 16. Bits from WINDOW up depend on the whole window.
+MASK = np.uint32(0b1111 << 20)
 #: Bytes of a run of repeated chunks that is reported.
 LEAST = 100
 
@@ -76,8 +77,8 @@ def chunked(texts: list[bytes]) -> list[list[int]]:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, d1, d2, start, end): every chunk, its digest as two integers."""
-    source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    """(doc, d1, d2, place): every chunk, its digest as two integers, its start and end in the halves of a third."""
+    source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
     kind = source.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,16 +96,15 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 digests += [xxh3_128_digest(t[a:b]) for a, b in zip(starts, es)]
             if rows:
                 d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["doc", "d1", "d2", "start", "end"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array((np.array(first) << 32) | np.array(last))], ["doc", "d1", "d2", "place"])
 
-    return source.mapInArrow(run, f"doc {kind}, d1 long, d2 long, start int, end int")
+    return source.mapInArrow(run, f"doc {kind}, d1 long, d2 long, place long")
 
 
 def runs(hits: list[dict], least: int = LEAST) -> list[tuple[int, int, int, object]]:
-    """(start, end, chunks, first) of the repeats in one document's repeated chunks, which come in order of start.
+    """(start, end, chunks, first) of what is to go among one document's shared chunks, which come in order of start.
 
-    A run of repeated chunks end to end, first occurrences among them, has to reach `least`; its stretches that are
-    not first occurrences are given.
+    A run of shared chunks end to end has to reach `least`; those of its stretches that another document keeps are given.
     """
     out, i = [], 0
     while i < len(hits):
@@ -127,8 +127,9 @@ def runs(hits: list[dict], least: int = LEAST) -> list[tuple[int, int, int, obje
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """One row for each repeat to take out: id_col, start, end, chunks, first_id (document that keeps its first chunk)."""
     every = chunks(docs, id_col, text_col)
-    again = every.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.expr("min(struct(doc IS NULL AS without, doc, start)) AS at")).where("n > 1")
-    hits = every.join(again, ["d1", "d2"]).select("doc", F.struct("start", "end", F.expr("doc <=> at.doc AND start = at.start").alias("own"), F.col("at.doc").alias("first")).alias("hit"))
+    shared = every.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").drop("last")
+    place = F.shiftright("place", 32).alias("start"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("end")
+    hits = every.join(shared, ["d1", "d2"]).select("doc", F.struct(*place, (F.col("doc") == F.col("first")).alias("own"), "first").alias("hit"))
     kind = every.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowdelta.llm import bpe, exact_dedup, packing, scratch, secret_scan, simhash, substring_dedup, token_counts, toxicity, vector_dedup
+from rowdelta.llm import bpe, exact_dedup, packing, pii, scratch, secret_scan, simhash, substring_dedup, token_counts, toxicity, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_replaced")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -70,6 +74,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_pii": op4_pii,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_counts": op7_token_counts,

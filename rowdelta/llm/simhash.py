@@ -163,3 +163,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(compared(placed(reps.where("rep IS NOT NULL")), threshold)).withColumnRenamed("node", "rep")
     labels = reps.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return rows.join(labels, "fp").select(F.col("doc").alias(id_col), "fp", "component")
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs whose id is the least of its group, with all their columns."""
+    found = near_duplicates(docs, id_col, text_col, **how)
+    gone = scratch.written(found.where(f"NOT `{id_col}` <=> component").select(F.col(id_col).alias("sid")).distinct(), "gone")
+    return scratch.matched(docs, gone, docs[id_col].eqNullSafe(gone["sid"]), "left_anti")

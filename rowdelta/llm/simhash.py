@@ -15,6 +15,7 @@ an empty table gives no rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +49,19 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id_col, fp): the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seeds: tuple = (SEED,), check: int = 0) -> DataFrame:
+    """(doc, fps, check): a fingerprint for each seed as signed 64-bit integers, and 128 bits over shingles of `check` words (none: empty)."""
     source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     kind = source.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda t, n, seed: fingerprint_of(np.array(shingle_hashes(t, n, seed), np.uint64))
         for part, texts in arrow.slices(batches):
-            fps = np.array([fingerprint_of(np.array(shingle_hashes(t, size, seed), np.uint64)) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc", "fp"])
+            fps = np.array([[of(t, size, s) for s in seeds] for t in texts], np.uint64).view(np.int64)
+            checks = [b"".join(of(t, check, s).to_bytes(8, "little") for s in (0, 1)) if check else b"" for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(fps), pa.list_(pa.int64())), pa.array(checks, pa.binary())], ["doc", "fps", "check"])
 
-    return source.mapInArrow(run, f"doc {kind}, fp long").withColumnRenamed("doc", id_col)
+    return source.mapInArrow(run, f"doc {kind}, fps array<long>, check binary")
 
 
 _WORD = np.uint64(0x7FFFFFFF)
@@ -79,7 +82,7 @@ def anchors(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def placed(reps: DataFrame) -> DataFrame:
-    """reps (fp, rep) to one row (anchor, home, fp, rep) for each anchor of each half."""
+    """reps (fp, rep, check) to one row (anchor, home, fp, rep, check) for each anchor of each half."""
     kind = reps.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,28 +99,30 @@ def placed(reps: DataFrame) -> DataFrame:
                     keys += [home | tag, further[at, column] | tag]
                     homes += [np.ones(len(fp), bool), np.zeros(len(at), bool)]
                 rows = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(homes)), part.column(0).take(rows), part.column(1).take(rows)], ["anchor", "home", "fp", "rep"])
-
-    return reps.mapInArrow(run, f"anchor long, home boolean, fp long, rep {kind}")
-
-
-def forest(fp: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """Index pairs of a spanning forest of the fingerprints within threshold; each found point leaves those still to find."""
-    left, edges = np.arange(len(fp)), []
-    while len(left):
-        todo, left = [int(left[0])], left[1:]
-        while todo and len(left):
-            at = todo.pop()
-            near = np.bitwise_count(fp[left] ^ fp[at]) <= threshold
-            if near.any():
-                found = left[near].tolist()
-                edges += [(at, x) for x in found]
-                todo += found
-                left = left[~near]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(homes)), *(part.column(i).take(rows) for i in range(3))], ["anchor", "home", "fp", "rep", "check"])
+
+    return reps.mapInArrow(run, f"anchor long, home boolean, fp long, rep {kind}, check binary")
+
+
+def forest(fp: np.ndarray, home: np.ndarray, threshold: int = THRESHOLD, check: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
+    """Index pairs of a spanning forest of the links between points at home and any others.
+
+    Links: fingerprints within threshold and, where there are check bits (n x words), those within `most`.
+    """
+    label, edges = np.arange(len(fp)), []
+    for h in np.flatnonzero(home).tolist():
+        near = np.flatnonzero(np.bitwise_count(fp ^ fp[h]) <= threshold)
+        if check is not None and len(near) > 1:
+            near = near[np.bitwise_count(check[near] ^ check[h]).sum(1) <= most]
+        other, first = np.unique(label[near], return_index=True)
+        new = other != label[h]
+        if new.any():
+            edges += [(h, x) for x in near[first[new]].tolist()]
+            label[np.isin(label, other[new])] = label[h]
     return edges
 
 
-def compared(points: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def compared(points: DataFrame, threshold: int = THRESHOLD, most: int = 0) -> DataFrame:
     """Links (a, b) between the representatives that meet at an anchor at which one of them is at home."""
     kind = points.schema["rep"].dataType.simpleString()
 
@@ -127,11 +132,17 @@ def compared(points: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         def links(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(rows).combine_chunks()
             key, home = t["anchor"].to_numpy(), t["home"].to_numpy(zero_copy_only=False)
-            fp, rep = t["fp"].to_numpy().view(np.uint64), t["rep"].combine_chunks()
+            fp, rep, check = t["fp"].to_numpy().view(np.uint64), t["rep"].combine_chunks(), None
+            if most:
+                check = np.frombuffer(b"".join(t["check"].to_pylist()), np.uint64).reshape(len(key), -1)
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.append(starts, len(key)))
             homes = np.add.reduceat(home.astype(np.int64), starts)
-            edges = [(x + int(a), y + int(a)) for a, n in zip(starts[(sizes > 1) & (homes > 0)], sizes[(sizes > 1) & (homes > 0)]) for x, y in forest(fp[a : a + n], threshold)]
+            some = (sizes > 1) & (homes > 0)
+            edges = []
+            for a, n in zip(starts[some].tolist(), sizes[some].tolist()):
+                at = slice(a, a + n)
+                edges += [(x + a, y + a) for x, y in forest(fp[at], home[at], threshold, None if check is None else check[at], most)]
             if edges:
                 a, b = (pa.array(x, pa.int64()) for x in zip(*edges))
                 yield pa.RecordBatch.from_arrays([rep.take(a), rep.take(b)], ["a", "b"])
@@ -154,15 +165,26 @@ def compared(points: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return ordered.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED, threshold: int = THRESHOLD) -> DataFrame:
-    """One row for each document: id_col, fp, component (smallest id reachable by links, its own included)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seeds: tuple = (SEED,), threshold: int = THRESHOLD, check: int = 0, most: int = 0) -> DataFrame:
+    """One row for each document: id_col, fp (of the first seed), component (smallest id reachable by links, its own included).
+
+    A link of any seed counts. With check, a link's 128 check bits over shingles of so many words also differ in `most` at most.
+    """
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the anchors cover thresholds up to {THRESHOLD}")
-    rows = scratch.written(fingerprints(docs, id_col, text_col, size, seed).withColumnRenamed(id_col, "doc"), "fingerprints")
-    reps = scratch.written(rows.groupBy("fp").agg(F.min("doc").alias("rep")), "representatives")
-    found = components(compared(placed(reps.where("rep IS NOT NULL")), threshold)).withColumnRenamed("node", "rep")
-    labels = reps.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return rows.join(labels, "fp").select(F.col("doc").alias(id_col), "fp", "component")
+    rows = scratch.written(fingerprints(docs, id_col, text_col, size, seeds, check), "fingerprints")
+    reps = scratch.written(rows.groupBy("fps", "check").agg(F.min("doc").alias("rep")), "representatives")
+    known = reps.where("rep IS NOT NULL")
+    links = [compared(placed(known.select(F.col("fps")[k].alias("fp"), "rep", "check")), threshold, most if check else 0) for k in range(len(seeds))]
+    found = components(reduce(DataFrame.union, links)).withColumnRenamed("node", "rep")
+    labels = reps.join(found, "rep", "left").select("fps", "check", F.coalesce("component", "rep").alias("component"))
+    return rows.join(labels, ["fps", "check"]).select(F.col("doc").alias(id_col), F.col("fps")[0].alias("fp"), "component")
+
+
+#: Settings for texts with at least 0.8 of their five-word shingles in common: such texts differ in few words, so word
+#: fingerprints of two seeds find them, and the check bits, of which 19 differ on average at 0.8, tell them from texts
+#: that only share their common words (64 on average). Five more bits allow for the estimate's error.
+FIVE_WORDS = {"size": 1, "seeds": (42, 43), "check": 5, "most": 24}
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 
 from rowdelta.llm import scratch
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, without files laid out ahead of what is in them (megabytes for each partition's store).
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Null ids sort behind all others.
 _FIRST = "min(struct(doc IS NULL AS without, doc, locator)) AS first"
 
@@ -42,12 +45,14 @@ def first_seen(keys: DataFrame, to: str, checkpoint: str) -> None:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{to}/batch={number}")  # a batch that is run again writes the same
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
 
 
@@ -87,3 +92,19 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("doc").alias(id_col), F.col("first.doc").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("locator") == F.col("first.locator")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    found = scratch.written(deduplicate(docs, id_col, text_col).select(F.col(id_col).alias("sid"), "kept", F.col("text_sha256").alias("sha")), "found")
+    gone = found.where("NOT kept").select("sid").distinct()
+    both = scratch.written(gone.intersect(found.where("kept").select("sid")), "both")
+    gone = scratch.written(gone.exceptAll(both), "gone")
+    out = scratch.matched(docs, gone, docs[id_col].eqNullSafe(gone["sid"]), "left_anti")
+    n = both.count()
+    if n:  # an id with rows of either sort: told apart by the text
+        stay = found.where("kept").select("sid", "sha")
+        part = scratch.matched(docs, both, docs[id_col].eqNullSafe(both["sid"]), "left_semi", n).withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
+        part = part.join(stay, part[id_col].eqNullSafe(stay["sid"]) & (part["__sha"] == stay["sha"]), "left_semi").dropDuplicates([id_col, "__sha"]).drop("__sha")
+        out = scratch.matched(out, both, out[id_col].eqNullSafe(both["sid"]), "left_anti", n).unionByName(part)
+    return out

@@ -150,10 +150,13 @@ def schema_drift(first: DataFrame, second: DataFrame, **how) -> DataFrame:
     """(column, change, left_value, right_value): added, removed, type_changed, nullable_changed."""
     side = lambda d, s: profile(d, **how).select(F.col("column"), F.col("types").alias(f"{s}_types"), F.col("nullable").cast("string").alias(f"{s}_nullable"))
     both = side(first, "l").join(side(second, "r"), "column", "full")
+    none = F.lit(None).cast("string")
+    item = lambda when, change, left=none, right=none: F.when(when, F.struct(F.lit(change).alias("change"), left.alias("left_value"), right.alias("right_value")))
+    c = F.col
     items = F.array(
-        F.when(F.col("l_types").isNull(), F.struct(F.lit("added").alias("change"), F.lit(None).cast("string").alias("left_value"), F.lit(None).cast("string").alias("right_value"))),
-        F.when(F.col("r_types").isNull(), F.struct(F.lit("removed"), F.lit(None).cast("string"), F.lit(None).cast("string"))),
-        F.when(F.col("l_types") != F.col("r_types"), F.struct(F.lit("type_changed"), F.col("l_types"), F.col("r_types"))),
-        F.when(F.col("l_nullable") != F.col("r_nullable"), F.struct(F.lit("nullable_changed"), F.col("l_nullable"), F.col("r_nullable"))),
+        item(c("l_types").isNull(), "added"),
+        item(c("r_types").isNull(), "removed"),
+        item(c("l_types") != c("r_types"), "type_changed", c("l_types"), c("r_types")),
+        item(c("l_nullable") != c("r_nullable"), "nullable_changed", c("l_nullable"), c("r_nullable")),
     )
     return both.select("column", F.inline(F.filter(items, lambda x: x.isNotNull())))

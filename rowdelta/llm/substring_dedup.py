@@ -9,7 +9,7 @@ document only.
 Counting a digest is a partial aggregate, so a passage that a third of all documents share is one row for each
 task; finding its occurrences is a join on the digest, which adaptive execution splits where it is skewed.
 
-Cases: a null or empty text has no chunks; rows with the same id count as one document; a row without an id could not be
+Cases: a null or empty text has no chunks; equal rows count as one (ids are to tell different texts apart); a row without an id could not be
 named and is left out; an empty table gives no rows; other columns are ignored, whatever their names. Spans are UTF-8
 bytes, end exclusive.
 """
@@ -139,7 +139,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 c = list(zip(*found))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c[0])), *(pa.array(x, pa.int64()) for x in c[1:4]), pa.array(c[4], batch.column(0).type)], ["doc", "start", "end", "chunks", "first_id"])
 
-    by_doc = hits.groupBy("doc").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    by_doc = hits.groupBy("doc").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
     return by_doc.mapInArrow(run, f"doc {kind}, start long, end long, chunks long, first_id {kind}").withColumnRenamed("doc", id_col)
 
 

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowdelta.errors import InvalidInputError
 from rowdelta.functions.normalize import Normalizer
 from rowdelta.operators.duplicates import surplus
 from rowdelta.operators.results import CompareResult, CompareStats
@@ -45,6 +46,25 @@ def grouped(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def labelled(first: DataFrame, second: DataFrame, *, key: KeySpec = None, normalizer: Normalizer | None = None, order_by=None, include_common: bool = True) -> DataFrame:
+    """(section, columns of either side): one row for each key, all sections in one shuffle, in no order."""
+    by_token = grouped(*keys.sides(first, second, key, normalizer, order_by))
+    section = F.when(F.col("nr") == 0, "only_in_first").when(F.col("nl") == 0, "only_in_second").otherwise("common")
+    here = F.col("nl") > 0
+    columns = [*first.columns, *(c for c in second.columns if c not in first.columns)]
+    if "section" in columns:
+        raise InvalidInputError("a column is named section already")
+
+    def value(c: str) -> Column:
+        if c not in second.columns:
+            return F.col("first").getField(c)
+        other = F.col("second").getField(c)
+        return F.when(~here, other) if c not in first.columns else F.when(here, F.col("first").getField(c)).otherwise(other)
+
+    out = by_token if include_common else by_token.where("nl = 0 OR nr = 0")
+    return out.select(section.alias("section"), *(value(c).alias(c) for c in columns))
+
+
 def _rows(df: DataFrame, row: str, order: str, preserve: bool) -> DataFrame:
     return (df.orderBy(order) if preserve else df).select(f"{row}.*")
 
@@ -88,8 +108,10 @@ def diff(first: DataFrame, second: DataFrame, **how) -> CompareResult:
 
 
 def unique(first: DataFrame, second: DataFrame, **how) -> DataFrame:
-    """Rows of one side only, the left's first."""
-    return diff(first, second, **how).unique
+    """Rows of one side only, the left's first; with preserve_order=False in any order, and in one shuffle."""
+    if how.get("preserve_order", True) or set(how) - {"preserve_order", "key", "normalizer", "order_by"} or dict(first.dtypes) != dict(second.dtypes) or "section" in first.columns:
+        return diff(first, second, **how).unique
+    return labelled(first, second, **{k: v for k, v in how.items() if k != "preserve_order"}, include_common=False).drop("section")
 
 
 def intersection(first: DataFrame, second: DataFrame, **how) -> DataFrame:

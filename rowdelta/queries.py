@@ -115,9 +115,7 @@ _PRESENCE = {
 
 @query("presence_rows", _with("orders") + "SELECT 'only_in_first' AS section, * FROM a ANTI JOIN b USING (o_orderkey) UNION ALL SELECT 'only_in_second', * FROM b ANTI JOIN a USING (o_orderkey) UNION ALL SELECT 'common', * FROM a SEMI JOIN b USING (o_orderkey)")
 def presence_rows(spark, d):
-    r = presence.compare(*pair(spark, d, "orders"), key="o_orderkey", order_by="o_orderkey", preserve_order=False)
-    parts = [r.section(s).withColumn("section", F.lit(s)) for s in ("only_in_first", "only_in_second", "common")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return presence.labelled(*pair(spark, d, "orders"), key="o_orderkey", order_by="o_orderkey")
 
 
 @query("presence_only_first", _with("orders") + _PRESENCE["only_first"])
@@ -149,8 +147,7 @@ _LINE_ORDER = "l_partkey, cents, quantity"
     + "SELECT 'only_in_first' AS section, * FROM a1 ANTI JOIN b1 USING (l_orderkey, l_linenumber) UNION ALL SELECT 'only_in_second', * FROM b1 ANTI JOIN a1 USING (l_orderkey, l_linenumber)",
 )
 def presence_composite(spark, d):
-    r = presence.diff(*pair(spark, d, "lines"), key=["l_orderkey", "l_linenumber"], order_by=["l_partkey", "cents", "quantity"], preserve_order=False)
-    return r.only_in_first.withColumn("section", F.lit("only_in_first")).unionByName(r.only_in_second.withColumn("section", F.lit("only_in_second")))
+    return presence.labelled(*pair(spark, d, "lines"), key=["l_orderkey", "l_linenumber"], order_by=["l_partkey", "cents", "quantity"], include_common=False)
 
 
 @query("presence_null_key", _counted("customers", "k"))

@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowdelta.llm import arrow
+from rowdelta.llm.cache import Generations
 
 BIG = 1 << 62
 #: Pre-tokens up to this many bytes are merged side by side.
 SIDE_BY_SIDE = 64
-#: Segments that one worker keeps; beyond it, new ones are encoded each time they come up.
+#: Segments that one worker keeps.
 CACHE_SEGMENTS = 700_000
 
 
@@ -76,6 +77,56 @@ class PairTable:
         return out
 
 
+def side_by_side(symbols: np.ndarray, size: np.ndarray, pairs: PairTable) -> list[bytes]:
+    """Merges columns of symbols (width x n, width a power of two, size of them in use): packed ids of each. An id's order is its rank's."""
+    width, n = symbols.shape
+    cols = np.arange(n)
+    ids = np.zeros((width + 1, n), np.int64)
+    ids[:width] = symbols
+    tree = np.full((2 * width, n), BIG, np.int64)
+    for p in range(width - 1):
+        on = np.flatnonzero(size > p + 1)
+        if len(on):
+            r = pairs.many(ids[p, on], ids[p + 1, on])
+            tree[width + p, on] = np.where(r >= 0, (r << 8) | p, BIG)
+    for k in range(width - 1, 0, -1):
+        np.minimum(tree[2 * k], tree[2 * k + 1], out=tree[k])
+    after = np.repeat(np.arange(1, width + 2)[:, None], n, 1)
+    before = np.repeat(np.arange(-1, width)[:, None], n, 1)
+    live = np.ones((width, n), bool) & (np.arange(width)[:, None] < size)
+
+    def put(p: np.ndarray, c: np.ndarray, value: np.ndarray | int) -> None:
+        k = width + p
+        tree[k, c] = value
+        for _ in range(width.bit_length() - 1):
+            k = k >> 1
+            tree[k, c] = np.minimum(tree[2 * k, c], tree[2 * k + 1, c])
+
+    def pair(p: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        r = pairs.many(ids[p, c], ids[np.minimum(q, width), c])
+        return np.where((q < size[c]) & (r >= 0), (r << 8) | p, BIG)
+
+    c = cols[tree[1] < BIG]
+    while len(c):
+        top = tree[1, c]
+        p = top & 255
+        q = after[p, c]
+        ids[p, c] = top >> 8
+        live[q, c] = False
+        nn = after[q, c]
+        after[p, c] = nn
+        before[np.minimum(nn, width), c] = p
+        put(q, c, BIG)
+        put(p, c, pair(p, nn, c))
+        b = before[p, c]
+        on = b >= 0
+        put(b[on], c[on], pair(b[on], p[on], c[on]))
+        c = c[tree[1, c] < BIG]
+    stops = np.cumsum(live.sum(0)) * 4
+    flat = ids[:width].T[live.T].astype("<u4").tobytes()
+    return [flat[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
+
+
 class Ranks:
     """A vocabulary in which the id of a token is its rank."""
 
@@ -130,53 +181,8 @@ class Ranks:
 
     def _side_by_side(self, group: list[bytes], width: int) -> list[bytes]:
         """Pre-tokens of 2 to `width` bytes, width a power of two: packed ids of each."""
-        n, cols = len(group), np.arange(len(group))
-        size = np.array([len(t) for t in group])
-        data = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in group), np.uint8).reshape(n, width)
-        ids = np.zeros((width + 1, n), np.int64)
-        ids[:width] = self.first[data].T
-        tree = np.full((2 * width, n), BIG, np.int64)
-        for p in range(width - 1):
-            on = np.flatnonzero(size > p + 1)
-            if len(on):
-                r = self.pairs.many(ids[p, on], ids[p + 1, on])
-                tree[width + p, on] = np.where(r >= 0, (r << 8) | p, BIG)
-        for k in range(width - 1, 0, -1):
-            np.minimum(tree[2 * k], tree[2 * k + 1], out=tree[k])
-        after = np.repeat(np.arange(1, width + 2)[:, None], n, 1)
-        before = np.repeat(np.arange(-1, width)[:, None], n, 1)
-        live = np.ones((width, n), bool) & (np.arange(width)[:, None] < size)
-
-        def put(p: np.ndarray, c: np.ndarray, value: np.ndarray | int) -> None:
-            k = width + p
-            tree[k, c] = value
-            for _ in range(width.bit_length() - 1):
-                k = k >> 1
-                tree[k, c] = np.minimum(tree[2 * k, c], tree[2 * k + 1, c])
-
-        def pair(p: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
-            r = self.pairs.many(ids[p, c], ids[np.minimum(q, width), c])
-            return np.where((q < size[c]) & (r >= 0), (r << 8) | p, BIG)
-
-        c = cols[tree[1] < BIG]
-        while len(c):
-            top = tree[1, c]
-            p = top & 255
-            q = after[p, c]
-            ids[p, c] = top >> 8
-            live[q, c] = False
-            nn = after[q, c]
-            after[p, c] = nn
-            before[np.minimum(nn, width), c] = p
-            put(q, c, BIG)
-            put(p, c, pair(p, nn, c))
-            b = before[p, c]
-            on = b >= 0
-            put(b[on], c[on], pair(b[on], p[on], c[on]))
-            c = c[tree[1, c] < BIG]
-        stops = np.cumsum(live.sum(0)) * 4
-        flat = ids[:width].T[live.T].astype("<u4").tobytes()
-        return [flat[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
+        data = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in group), np.uint8).reshape(-1, width)
+        return side_by_side(self.first[data].T, np.array([len(t) for t in group]), self.pairs)
 
     def packed(self, tokens: list[bytes]) -> dict[bytes, bytes]:
         """Packed little-endian ids of each distinct pre-token."""
@@ -202,9 +208,8 @@ class Encoder:
     def __init__(self, path: str, pattern: str, most: int = CACHE_SEGMENTS):
         import regex
 
-        self.ranks, self.pattern, self.most = Ranks(path), regex.compile(pattern), most
+        self.ranks, self.pattern, self.kept = Ranks(path), regex.compile(pattern), Generations(most)
         self.unusual = regex.compile(r"[^\S \n]|\s\s|^\s|\s$")
-        self.kept: dict[str, bytes] = {}
         self.cuts = self._cuts_at_single_spaces()
 
     def _cuts_at_single_spaces(self) -> bool:
@@ -226,22 +231,15 @@ class Encoder:
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else self.pattern.findall(text)
 
     def packed(self, texts: list[bytes]) -> list[bytes]:
-        kept = self.kept
         parts = [self.segments(t.decode()) for t in texts]
-        new = {s for p in parts for s in p if s not in kept}
-        if new:
-            found = {s: self.pattern.findall(s) for s in new}
-            words = {w for ws in found.values() for w in ws}
-            ids = self.ranks.packed([w.encode() for w in words])
-            made = {s: b"".join([ids[w.encode()] for w in ws]) for s, ws in found.items()}
-            if len(kept) + len(made) <= self.most:
-                kept.update(made)
-            else:
-                made |= {s: kept[s] for p in parts for s in p if s in kept}
-                kept = made
-        get = kept.__getitem__
+        get = self.kept.holding(set().union(*parts), self._made).__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
+    def _made(self, segments: list[str]) -> dict[str, bytes]:
+        found = {s: self.pattern.findall(s) for s in segments}
+        ids = self.ranks.packed([w.encode() for w in {w for ws in found.values() for w in ws}])
+        return {s: b"".join([ids[w.encode()] for w in ws]) for s, ws in found.items()}
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:

@@ -46,10 +46,9 @@ def sorted_diff(first: DataFrame, second: DataFrame, *, key: KeySpec = None, nor
     if validate_sorted:
         require_sorted(first, key, "first", normalizer), require_sorted(second, key, "second", normalizer)
     a, b = keys.sides(first, second, key, normalizer)
-    text = lambda d, row: _row_json(d, row)
     by_token = grouped(a, b)
     section = F.when(F.col("nr") == 0, "only_in_first").when(F.col("nl") == 0, "only_in_second").otherwise("common")
-    value = F.when(F.col("nl") > 0, text(first, "first")).otherwise(text(second, "second"))
+    value = F.when(F.col("nl") > 0, _row_json(first, "first")).otherwise(_row_json(second, "second"))
     out = by_token.select(TOKEN, F.lit(0).alias("rank"), F.coalesce("o1", "o2").alias("o"), section.alias("section"), value.alias("value"))
     if not include_common:
         out = out.where("section <> 'common'")
@@ -58,7 +57,7 @@ def sorted_diff(first: DataFrame, second: DataFrame, *, key: KeySpec = None, nor
             least = side.groupBy(TOKEN).agg(F.min(ORDER).alias("m"), F.count("*").alias("n")).where("n > 1").select(F.col(TOKEN).alias("t"), "m")
             on = [side[TOKEN].getField(f.name).eqNullSafe(least["t"].getField(f.name)) for f in side.schema[TOKEN].dataType.fields]
             later = side.join(least, on).where(F.col(ORDER) > F.col("m"))
-            out = out.union(later.select(TOKEN, F.lit(rank), ORDER, F.lit(name), text(df, ROW)))
+            out = out.union(later.select(TOKEN, F.lit(rank), ORDER, F.lit(name), _row_json(df, ROW)))
     return out.orderBy(TOKEN, "rank", "o").select("section", "value")
 
 

@@ -7,6 +7,8 @@ temporary folder per process takes its place.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,9 @@ def folder(spark: SparkSession, tag: str) -> str:
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        _local = _local or tempfile.mkdtemp(prefix="rowdelta-")
+        if _local is None:
+            _local = tempfile.mkdtemp(prefix="rowdelta-")
+            atexit.register(shutil.rmtree, _local, ignore_errors=True)
         top = _local
     return f"{top.rstrip('/')}/rowdelta-{tag}-{uuid.uuid4().hex[:12]}"
 

@@ -129,7 +129,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     every = chunks(docs, id_col, text_col)
     shared = every.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").drop("last")
     place = F.shiftright("place", 32).alias("start"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("end")
-    hits = every.join(shared, ["d1", "d2"]).select("doc", F.struct(*place, (F.col("doc") == F.col("first")).alias("own"), "first").alias("hit"))
+    shared = scratch.written(shared, "shared")  # a table of its own on this side lets adaptive execution split the other
+    hits = scratch.matched(every, shared, ["d1", "d2"], "inner").select("doc", F.struct(*place, (F.col("doc") == F.col("first")).alias("own"), "first").alias("hit"))
     kind = every.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

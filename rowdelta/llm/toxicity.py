@@ -81,7 +81,7 @@ def _lexicon(train: DataFrame) -> dict[str, float]:
     """The terms that mark toxic rows most surely, with the bound of their toxic share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in arrow.slices(batches, most=16 << 20):
+        for part, texts in arrow.slices(batches, most=6 << 20):
             counts = (Counter(), Counter())
             for t, y in zip(texts, part.column(part.schema.get_field_index("toxic")).to_pylist()):
                 counts[y].update(terms(t.decode()))

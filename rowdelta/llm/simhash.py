@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowdelta.llm import arrow, scratch
+from rowdelta.llm import arrow, scratch, shingle_join
 from rowdelta.llm.components import components
 
 SHINGLE = 3
@@ -178,10 +178,11 @@ def compared(points: DataFrame, threshold: int = THRESHOLD, most: int = 0) -> Da
     return ordered.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seeds: tuple = (SEED,), threshold: int = THRESHOLD, check: int = 0, most: int = 0) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seeds: tuple = (SEED,), threshold: int = THRESHOLD, check: int = 0, most: int = 0, least: float = 0) -> DataFrame:
     """One row for each document: id_col, fp (of the first seed), component (smallest id reachable by links, its own included).
 
     A link of any seed counts. With check, a link's 256 check bits over shingles of so many words also differ in `most` at most.
+    With least, links are candidates: those count whose whole texts have so much of these shingles in common.
     """
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the anchors cover thresholds up to {THRESHOLD}")
@@ -189,15 +190,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = scratch.written(rows.groupBy("fps", "check").agg(F.min("doc").alias("rep")), "representatives")
     known = reps.where("rep IS NOT NULL")
     links = [compared(placed(known.select(F.col("fps")[k].alias("fp"), "rep", "check")), threshold, most if check else 0) for k in range(len(seeds))]
-    found = components(reduce(DataFrame.union, links)).withColumnRenamed("node", "rep")
+    found = components(reduce(DataFrame.union, links))
+    if least:
+        found = shingle_join.held(docs, scratch.written(found, "candidates"), id_col, text_col, check, least)
+    found = found.withColumnRenamed("node", "rep")
     labels = reps.join(found, "rep", "left").select("fps", "check", F.coalesce("component", "rep").alias("component"))
     return rows.join(labels, ["fps", "check"]).select(F.col("doc").alias(id_col), F.col("fps")[0].alias("fp"), "component")
 
 
-#: Settings for texts with at least 0.8 of their five-word shingles in common: such texts differ in few words, so word
-#: fingerprints of two seeds find them, and the check bits, of which 39 differ on average at 0.8 and 67 at 0.5, tell
-#: them from texts that have less in common. Five more bits allow for most of the estimate's error.
-FIVE_WORDS = {"size": 1, "seeds": (42, 43), "check": 5, "most": 44}
+#: Settings for texts with at least 0.8 of their five-word shingles in common: word fingerprints of two seeds give
+#: candidates, the check bits (39 differ on average at 0.8, 67 at 0.5) spare comparisons, and whole texts decide.
+FIVE_WORDS = {"size": 1, "seeds": (42, 43), "check": 5, "most": 80, "least": 0.8}
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -108,6 +108,25 @@ def test_simhash_five_words_finds_near_copies_and_leaves_others(spark, docs):
     assert kept.columns == docs.columns and kept.count() < docs.count()
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_simhash_five_words_drops_nothing_below_the_limit(spark):
+    rng = random.Random(7)
+    texts = []
+    for i in range(60):
+        a = words(rng, 150).split()
+        b = list(a)
+        for p in range(6):
+            b[20 * p + 10] = f"other{p}"  # Jaccard of about 0.66
+        texts += [" ".join(a), " ".join(b)]
+    assert all(jaccard(texts[i], texts[i + 1]) < 0.8 for i in range(0, 120, 2))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.survivors(df, **simhash.FIVE_WORDS).count() == 120
+
+
 def test_exact_dedup(spark, docs, empty):
     rows = corpus()
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")

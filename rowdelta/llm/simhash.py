@@ -182,25 +182,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row for each document: id_col, fp (of the first seed), component (smallest id reachable by links, its own included).
 
     A link of any seed counts. With check, a link's 256 check bits over shingles of so many words also differ in `most` at most.
-    With least, links are candidates: those count whose whole texts have so much of these shingles in common.
+    With least, texts are linked that have so much of their shingles in common, found and compared exactly; there is no fp then.
     """
+    if least:
+        return shingle_join.labelled(docs, id_col, text_col, size, least)
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the anchors cover thresholds up to {THRESHOLD}")
     rows = scratch.written(fingerprints(docs, id_col, text_col, size, seeds, check), "fingerprints")
     reps = scratch.written(rows.groupBy("fps", "check").agg(F.min("doc").alias("rep")), "representatives")
     known = reps.where("rep IS NOT NULL")
     links = [compared(placed(known.select(F.col("fps")[k].alias("fp"), "rep", "check")), threshold, most if check else 0) for k in range(len(seeds))]
-    found = components(reduce(DataFrame.union, links))
-    if least:
-        found = shingle_join.held(docs, scratch.written(found, "candidates"), id_col, text_col, check, least)
-    found = found.withColumnRenamed("node", "rep")
+    found = components(reduce(DataFrame.union, links)).withColumnRenamed("node", "rep")
     labels = reps.join(found, "rep", "left").select("fps", "check", F.coalesce("component", "rep").alias("component"))
     return rows.join(labels, ["fps", "check"]).select(F.col("doc").alias(id_col), F.col("fps")[0].alias("fp"), "component")
 
 
-#: Settings for texts with at least 0.8 of their five-word shingles in common: word fingerprints of two seeds give
-#: candidates, the check bits (39 differ on average at 0.8, 67 at 0.5) spare comparisons, and whole texts decide.
-FIVE_WORDS = {"size": 1, "seeds": (42, 43), "check": 5, "most": 80, "least": 0.8}
+#: Settings for texts with at least 0.8 of their five-word shingles in common. Fingerprints can't find these at every
+#: length (short texts differ in many bits), so they are joined by the shingles themselves.
+FIVE_WORDS = {"size": 5, "least": 0.8}
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -127,6 +127,24 @@ def test_simhash_five_words_drops_nothing_below_the_limit(spark):
     assert simhash.survivors(df, **simhash.FIVE_WORDS).count() == 120
 
 
+def test_simhash_five_words_finds_every_pair_at_any_length(spark):
+    rng = random.Random(8)
+    texts = []
+    for n in (8, 12, 50, 60, 90, 140, 200, 1500):
+        for i in range(30):
+            a = words(rng, n).split()
+            if i % 2:  # a block at the end
+                b = a + words(rng, rng.randrange(1, max(2, n // 5))).split()
+            else:  # words changed
+                b = [w if rng.random() > 0.03 else "other" for w in a]
+            texts += [" ".join(a), " ".join(b)]
+    near = [i for i in range(0, len(texts), 2) if jaccard(texts[i], texts[i + 1]) >= 0.8]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(pairs(simhash.near_duplicates(df, **simhash.FIVE_WORDS), "doc_id", "component"))
+    assert len(near) > 100 and all(got[i] == got[i + 1] == i for i in near)
+    assert len(set(got.values())) == len(texts) - len(near)
+
+
 def test_exact_dedup(spark, docs, empty):
     rows = corpus()
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")

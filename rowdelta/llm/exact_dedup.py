@@ -4,6 +4,7 @@ A stream of keys (SHA-256 of the normalised text, the document's id, a content l
 aggregation whose state is kept on disk by RocksDB, without a watermark, so no key ever expires. For each digest
 the state retains the least (id, locator) and the number of rows. A hit, a digest seen more than once, is
 checked on full bytes: the texts behind it are grouped by the text itself, which settles a collision of digests too.
+A second reading may number its rows otherwise, so locators are compared only within one written table.
 Copies meet in partial aggregates before each shuffle, so a group with a third of all rows is one row for each task.
 
 `first_seen` works on any stream of keys, with a checkpoint of the caller's, and goes on where it stopped;
@@ -75,19 +76,20 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = scratch.written(seen(spark, to, schema), "groups")
 
     hits = groups.where("n > 1").select("digest")
+    variant = F.sha2(F.concat("text", F.lit("\0"), F.reverse("text")), 512).alias("variant")
     texts = source.select(F.unhex(F.sha2("text", 256)).alias("digest"), "doc", "locator", "text")
-    checked = scratch.matched(texts, hits, "digest", "left_semi").groupBy("digest", "text").agg(F.expr("min(struct(doc IS NULL AS without, doc, locator)) AS first"), F.count("*").alias("n"))
-    checked = scratch.written(checked.select("digest", F.sha2(F.concat("text", F.lit("\0"), F.reverse("text")), 512).alias("variant"), "first", "n"), "checked")
+    checked = scratch.matched(texts.drop("doc", "locator"), hits, "digest", "left_semi").groupBy("digest", "text").count()
     collided = scratch.written(checked.groupBy("digest").count().where("count > 1").select("digest"), "collided")
 
-    plain = groups.where("n = 1").select("digest", "first", "n").union(checked.select("digest", "first", "n"))
+    plain = groups.select("digest", "first", "n")
     clashes = collided.count()
     if clashes:
         plain = plain.join(collided, "digest", "left_anti")
     found = rows.join(plain, "digest").select("doc", "locator", "first", "n", "digest")
-    if clashes:  # digests under which different texts met: told apart by the text
-        variant = scratch.matched(texts, collided, "digest", "left_semi", clashes).select("doc", "locator", "digest", F.sha2(F.concat("text", F.lit("\0"), F.reverse("text")), 512).alias("variant"))
-        found = found.union(variant.join(checked, ["digest", "variant"]).select("doc", "locator", "first", "n", "digest"))
+    if clashes:  # digests under which different texts met: told apart by the text; locators of this reading only meet each other
+        told = scratch.written(scratch.matched(texts, collided, "digest", "left_semi", clashes).select("doc", "locator", "digest", variant), "told")
+        apart = told.groupBy("digest", "variant").agg(F.expr(_FIRST), F.count("*").alias("n"))
+        found = found.union(told.join(apart, ["digest", "variant"]).select("doc", "locator", "first", "n", "digest"))
     return found.select(
         F.col("doc").alias(id_col), F.col("first.doc").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("locator") == F.col("first.locator")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),

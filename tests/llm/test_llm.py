@@ -161,6 +161,32 @@ def test_exact_dedup(spark, docs, empty):
     assert left.columns == docs.columns and left.count() == len(groups)
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_exact_dedup_when_a_later_reading_numbers_rows_otherwise(spark, tmp_path, monkeypatch, collide):
+    path, rows = str(tmp_path / "docs"), [(i, f"text {i % 7}") for i in range(40)]
+    for k in range(4):
+        spark.createDataFrame(rows[k::4], "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    real, sha2 = exact_dedup.scratch.written, F.sha2
+    layout = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+
+    def written(df, tag, *more):
+        out = real(df, tag, *more)
+        if tag == "keys":  # all files in one partition from here on
+            for k, v in layout.items():
+                spark.conf.set(k, v)
+        return out
+
+    monkeypatch.setattr(exact_dedup.scratch, "written", written)
+    if collide:
+        monkeypatch.setattr(F, "sha2", lambda c, n: sha2(F.length(c).cast("string") if n == 256 else c, n))
+    try:
+        got = pairs(exact_dedup.deduplicate(spark.read.parquet(path)), "doc_id", "keep_id", "group_size", "kept")
+    finally:
+        for k in layout:
+            spark.conf.unset(k)
+    assert sorted(got) == [(i, i % 7, 6 if i % 7 < 5 else 5, i < 7) for i in range(40)]
+
+
 def test_exact_dedup_state_goes_on_over_batches(spark, tmp_path):
     keys = spark.createDataFrame([(b"a", 5, 0), (b"b", 2, 1)], "digest binary, doc long, locator long")
     for batch in (keys, spark.createDataFrame([(b"a", 1, 2)], keys.schema)):

@@ -2,7 +2,8 @@
 
 E-mail addresses, card numbers with a right check digit, phone and social security numbers, IPv4 addresses and names
 after a title are found by one regex. A surrogate is drawn from a keyed SHA-256 of the entity's canonical form, so one
-entity has one surrogate wherever and however it is written, and it keeps the kind, the format (separators,
+entity has one surrogate wherever it is written, and however, names excepted: a name in full and its surname alone are two
+entities, and a name without a title is not found. A surrogate keeps the kind, the format (separators,
 letter case, country code, check digit, top-level domain) and, for names, the gender of the title and the script.
 
 Surrogates are checked over all entities of the input: two entities must not share one, and none may be an entity

@@ -2,8 +2,9 @@
 
 Candidates come from prefix filtering: of two sets with at least `least` in common, the lowest n - ceil(least * n) + 1
 hashes of each share one, at any length of text. Texts that meet at such a hash, have sizes within the ratio and check
-bits within MOST become links of a spanning forest, never all pairs. Check bits only spare work: at 0.8 of 256 bits 39
-differ on average with a deviation of 6, so MOST lies six deviations and more above, also for sets of a few shingles. The
+bits within MOST become links of a spanning forest, never all pairs. Check bits only spare work: of 256, 31 to 48 differ
+on average at 0.8, with a deviation of 6, so MOST lies five deviations above the worst case (sets of four and five). In
+3,300 random pairs of 5 to 100 shingles at 0.8 or a little above, at most 66 differed. A pair beyond MOST would be missed. The
 forest's components are those of all candidate pairs; within each, the whole texts are compared by their full
 sets, and only pairs that hold become links of the result.
 """

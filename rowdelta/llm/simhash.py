@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row for each document: id_col, fp (of the first seed), component (smallest id reachable by links, its own included).
 
     A link of any seed counts. With check, a link's 256 check bits over shingles of so many words also differ in `most` at most.
-    With least, texts are linked that have so much of their shingles in common, found and compared exactly; there is no fp then.
+    With least, texts are linked that have so much of their shingles in common, compared exactly; there is no fp then.
     """
     if least:
         return shingle_join.labelled(docs, id_col, text_col, size, least)

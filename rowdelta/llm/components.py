@@ -1,8 +1,11 @@
 """Connected components of a link table by alternating large-star and small-star rounds.
 
 Each round is two grouped minima and two joins, so no vertex, link or component ever gathers in one task
-or on the driver; a star with very many leaves only makes a skewed join, which adaptive execution splits.
-The number of rounds grows with the logarithm of the longest path.
+or on the driver. The minima are written before they are joined: both sides of a join are then plain scans, and a star
+with very many leaves is a skewed join that adaptive execution splits (a grouped minimum right below the join
+would bind its partitions). The number of rounds grows with the logarithm of the longest path.
+
+Cases: an empty table gives an empty result; loops and null ends are ignored, repeated links count once.
 """
 
 from __future__ import annotations
@@ -21,24 +24,37 @@ def _state(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
 
 
+def large_star(stars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, minima): every larger neighbour is linked to the least of a vertex and its neighbours."""
+    both = stars.select(F.col("u").alias("x"), F.col("v").alias("y")).union(stars.select("v", "u"))
+    least = scratch.written(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
+    return _ordered(both.where("y > x").join(least, "x").select("y", "m"), "y", "m"), least
+
+
+def small_star(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, minima): every smaller neighbour, and the vertex itself, is linked to the least of them."""
+    least = scratch.written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+    return _ordered(large.join(least, "u").select("v", "m").union(least.select("u", "m")), "v", "m"), least
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of a link that is not a loop; component is the smallest node reachable.
 
-    links: two columns of one orderable type; null ends are ignored. An empty table gives an empty result.
+    links: two columns of one orderable type.
     """
     spark = links.sparkSession
-    stars = scratch.written(_ordered(links, a, b).distinct(), "links")
+    stars = scratch.written(_ordered(links, a, b).where("u IS NOT NULL AND v IS NOT NULL").distinct(), "links")
     state = _state(stars)
     while state[0]:
-        both = stars.select(F.col("u").alias("x"), F.col("v").alias("y")).union(stars.select("v", "u"))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = scratch.written(_ordered(both.where("y > x").join(least, "x").select("y", "m"), "y", "m").distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("v", "m").union(least.select("u", "m"))
-        after = scratch.written(_ordered(small, "v", "m").distinct(), "small")
-        scratch.dropped(spark, stars, large)
-        stars, before = after, state
+        found, least = large_star(stars)
+        large = scratch.written(found.distinct(), "large")
+        scratch.dropped(spark, stars, least)
+        found, least = small_star(large)
+        stars, before = scratch.written(found.distinct(), "small"), state
+        scratch.dropped(spark, large, least)
         state = _state(stars)
         if state == before:
             break
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
+    out = stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
+    out.scratch_path = stars.scratch_path
+    return out

@@ -1,8 +1,11 @@
-"""Written tables that cut lineage.
+"""Written tables that cut lineage, and when they go.
 
 They live under the folder that the cluster names in `spark.checkpoint.dir`, which driver and executors
 share, so a lost executor costs only its own tasks. Where that setting is absent (tests, local mode) one
 temporary folder per process takes its place.
+
+An operator runs in `tables()`: what it wrote on its way is deleted at its end, but for the tables that its lazy result
+still reads. Those, and whatever an error left behind, go when the application ends; `released` deletes them earlier.
 """
 
 from __future__ import annotations
@@ -11,15 +14,24 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: str | None = None
+#: Folders made in each `tables()` that is open, the innermost last.
+_open: list[list[str]] = []
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def folder(spark: SparkSession, tag: str) -> str:
-    """A new, not yet existing path in the shared folder."""
+    """A new path in the shared folder, to be filled by the caller."""
     global _local
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
@@ -29,14 +41,44 @@ def folder(spark: SparkSession, tag: str) -> str:
             _local = tempfile.mkdtemp(prefix="rowdelta-")
             atexit.register(shutil.rmtree, _local, ignore_errors=True)
         top = _local
-    return f"{top.rstrip('/')}/rowdelta-{tag}-{uuid.uuid4().hex[:12]}"
+    out = f"{top.rstrip('/')}/rowdelta-{tag}-{uuid.uuid4().hex[:12]}"
+    p, fs = _path(spark, out)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Yields a list for the tables that are to stay; all others written inside are deleted at the end."""
+    kept: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield kept
+    finally:
+        made = _open.pop()
+        stay = {t.scratch_path for t in kept if getattr(t, "scratch_path", None)}
+        for path in made:
+            if path in stay and _open:
+                _open[-1].append(path)
+            elif path not in stay:
+                dropped(spark, path)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """For a caller that writes a lazy result elsewhere: everything written inside is deleted at the end."""
+    with tables(spark):
+        yield
 
 
 def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """df, written once as Parquet and read back; every later use reads the files."""
     spark = df.sparkSession
     path = path or folder(spark, tag)
-    df.write.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -47,15 +89,24 @@ def dropped(spark: SparkSession, *tables: DataFrame | str) -> None:
     for t in tables:
         path = t if isinstance(t, str) else getattr(t, "scratch_path", None)
         if path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            p, fs = _path(spark, path)
+            fs.delete(p, True)
+
+
+#: Rows, and bytes of their text form, up to which a written table is sent to every executor; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 8 << 20
+
+
+def few(small: DataFrame) -> bool:
+    """Whether a written table is within both bounds of a broadcast."""
+    rows, size = small.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in small.columns))))), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
-#: Rows of a written key table up to which it is sent to every executor; wider or longer ones are shuffled.
-BROADCAST_ROWS = 50_000
+def matched(big: DataFrame, small: DataFrame, on: str | Column | list, how: str) -> DataFrame:
+    """big joined to a narrow written table: sent to all executors if its counted rows and bytes are few, else shuffled."""
+    return big.join(F.broadcast(small) if few(small) else small, on, how)
 
 
-def matched(big: DataFrame, small: DataFrame, on: str | Column | list, how: str, rows: int | None = None) -> DataFrame:
-    """big joined to a narrow written table: sent to all executors if its counted rows are few, else shuffled."""
-    n = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
+def empty(df: DataFrame) -> bool:
+    return not df.take(1)

@@ -5,24 +5,28 @@ words of the perfect Hamming code of length 31 with one free bit: covering radiu
 anchor within the radius; replicas go to every anchor within the radius plus the half's threshold of one: the
 fifteen code words two bits away, and the home with its free bit turned. Of any pair within three bits, one
 side's home anchor therefore holds both. At each anchor fingerprints are compared and a spanning forest of the links
-is kept, never all pairs, so a group of m alike leaves m - 1 rows. Equal fingerprints are folded beforehand.
+is kept, never all pairs, so a group of m alike leaves m - 1 rows. Equal fingerprints are folded beforehand, and an
+anchor with very many different ones is compared in cells of two blocks (see cells), each a task's worth.
+
+`survivors` with FIVE_WORDS decides by the words themselves: pairs from the anchors, and those that only a prefix filter
+over the shingles finds (three bits are too few for most texts at 0.8), are verified on whole texts.
 
 Cases: a null or empty text has fingerprint zero, linked like any other; texts of one or two words have their
-word sequence as the only shingle; a null id labels nothing but takes its group's label; repeated rows are kept;
-an empty table gives no rows; other columns are ignored, whatever their names.
+word sequence as the only shingle; rows with a null id are linked like others, but name no group unless it has no
+other id; rows of one id with different texts are different documents, rows equal in id and text share their fate; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowdelta.llm import arrow, scratch, shingle_join
+from rowdelta.llm import arrow, cells, scratch, shingle_join
 from rowdelta.llm.components import components
 
 SHINGLE = 3
@@ -62,19 +66,26 @@ def check_bits(hashes: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seeds: tuple = (SEED,), check: int = 0) -> DataFrame:
-    """(doc, fps, check): a fingerprint for each seed as signed 64-bit integers, and CHECK_WORDS more over shingles of `check` words (none: empty)."""
-    source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+def source_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text, own): own tells the texts of one id apart."""
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), own_of(F.col(text_col)).alias("own"))
+
+
+def own_of(text: Column) -> Column:
+    return F.xxhash64(text, text.isNull())
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """(doc, own, fp): the fingerprint as a signed 64-bit integer."""
+    source = source_of(docs, id_col, text_col)
     kind = source.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lambda t, n, seed: fingerprint_of(np.array(shingle_hashes(t, n, seed), np.uint64))
         for part, texts in arrow.slices(batches):
-            fps = np.array([[of(t, size, s) for s in seeds] for t in texts], np.uint64).view(np.int64)
-            checks = [check_bits(np.array(shingle_hashes(t, check, 0), np.uint64)) if check else b"" for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(fps), pa.list_(pa.int64())), pa.array(checks, pa.binary())], ["doc", "fps", "check"])
+            fps = np.array([fingerprint_of(np.array(shingle_hashes(t, size), np.uint64)) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fps)], ["doc", "own", "fp"])
 
-    return source.mapInArrow(run, f"doc {kind}, fps array<long>, check binary")
+    return source.mapInArrow(run, f"doc {kind}, own long, fp long")
 
 
 _WORD = np.uint64(0x7FFFFFFF)
@@ -95,8 +106,7 @@ def anchors(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def placed(reps: DataFrame) -> DataFrame:
-    """reps (fp, rep, check) to one row (anchor, home, fp, rep, check) for each anchor of each half."""
-    kind = reps.schema["rep"].dataType.simpleString()
+    """reps (fp, node) to one row (anchor, home, fp, node) for each anchor of each half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,21 +122,19 @@ def placed(reps: DataFrame) -> DataFrame:
                     keys += [home | tag, further[at, column] | tag]
                     homes += [np.ones(len(fp), bool), np.zeros(len(at), bool)]
                 rows = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(homes)), *(part.column(i).take(rows) for i in range(3))], ["anchor", "home", "fp", "rep", "check"])
-
-    return reps.mapInArrow(run, f"anchor long, home boolean, fp long, rep {kind}, check binary")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(homes)), *(part.column(i).take(rows) for i in range(2))], ["anchor", "home", "fp", "node"])
 
+    return reps.select("fp", "node").mapInArrow(run, "anchor long, home boolean, fp long, node long")
 
-def forest(fp: np.ndarray, home: np.ndarray, threshold: int = THRESHOLD, check: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
-    """Index pairs of a spanning forest of the links between points at home and any others.
 
-    Links: fingerprints within threshold and, where there are check bits (n x words), those within `most`.
-    """
+def forest(fp: np.ndarray, home: np.ndarray, threshold: int = THRESHOLD, block: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Index pairs of a spanning forest of the links between points at home and any others, or with blocks those of the other block."""
     label, edges = np.arange(len(fp)), []
     for h in np.flatnonzero(home).tolist():
-        near = np.flatnonzero(np.bitwise_count(fp ^ fp[h]) <= threshold)
-        if check is not None and len(near) > 1:
-            near = near[np.bitwise_count(check[near] ^ check[h]).sum(1) <= most]
+        near = np.bitwise_count(fp ^ fp[h]) <= threshold
+        if block is not None:
+            near &= block != block[h]
+        near = np.flatnonzero(near)
         other, first = np.unique(label[near], return_index=True)
         new = other != label[h]
         if new.any():
@@ -135,75 +143,65 @@ def forest(fp: np.ndarray, home: np.ndarray, threshold: int = THRESHOLD, check:
     return edges
 
 
-def compared(points: DataFrame, threshold: int = THRESHOLD, most: int = 0) -> DataFrame:
-    """Links (a, b) between the representatives that meet at an anchor at which one of them is at home."""
-    kind = points.schema["rep"].dataType.simpleString()
+def compared(points: DataFrame, threshold: int = THRESHOLD, limit: int = cells.LIMIT) -> DataFrame:
+    """Links (a, b) between the nodes that meet at an anchor at which one of them is at home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def links(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(rows).combine_chunks()
-            key, home = t["anchor"].to_numpy(), t["home"].to_numpy(zero_copy_only=False)
-            fp, rep, check = t["fp"].to_numpy().view(np.uint64), t["rep"].combine_chunks(), None
-            if most:
-                check = np.frombuffer(b"".join(t["check"].to_pylist()), np.uint64).reshape(len(key), -1)
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(starts, len(key)))
-            homes = np.add.reduceat(home.astype(np.int64), starts)
-            some = (sizes > 1) & (homes > 0)
+        for t, starts in cells.groups(batches, ["anchor"]):
+            home, fp = t["home"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
+            low, high, block = cells.unpacked(t["cell"].to_numpy())
+            sizes = np.diff(np.append(starts, len(fp)))
+            some = (sizes > 1) & (np.add.reduceat(home.astype(np.int64), starts) > 0)
             edges = []
             for a, n in zip(starts[some].tolist(), sizes[some].tolist()):
                 at = slice(a, a + n)
-                edges += [(x + a, y + a) for x, y in forest(fp[at], home[at], threshold, None if check is None else check[at], most)]
+                edges += [(x + a, y + a) for x, y in forest(fp[at], home[at], threshold, block[at] if low[a] < high[a] else None)]
             if edges:
-                a, b = (pa.array(x, pa.int64()) for x in zip(*edges))
-                yield pa.RecordBatch.from_arrays([rep.take(a), rep.take(b)], ["a", "b"])
-
-        for batch in batches:  # rows come in order of anchor; the last anchor may go on in the next batch
-            if not len(batch):
-                continue
-            key = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut or (held and held[-1].column(0)[0] != batch.column(0)[0]):
-                if cut:
-                    held.append(batch.slice(0, cut))
-                yield from links(held)
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield from links(held)
-
-    ordered = points.repartition("anchor").sortWithinPartitions("anchor")
-    return ordered.mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seeds: tuple = (SEED,), threshold: int = THRESHOLD, check: int = 0, most: int = 0, least: float = 0) -> DataFrame:
-    """One row for each document: id_col, fp (of the first seed), component (smallest id reachable by links, its own included).
-
-    A link of any seed counts. With check, a link's 256 check bits over shingles of so many words also differ in `most` at most.
-    With least, texts are linked that have so much of their shingles in common, compared exactly; there is no fp then.
-    """
-    if least:
-        return shingle_join.labelled(docs, id_col, text_col, size, least)
+                node = t["node"].combine_chunks()
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(x, pa.int64())) for x in zip(*edges)], ["a", "b"])
+
+    return cells.gathered(cells.dealt(points, ["anchor"], "fp", limit), ["anchor"]).mapInArrow(run, "a long, b long")
+
+
+def grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Of nodes (node, least) and links (a, b): (node, grp, component), the group's least node and its least id."""
+    found = components(links)
+    of = scratch.written(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("grp"), "least"), "groups")
+    low = scratch.written(of.groupBy("grp").agg(F.min("least").alias("component")), "names")
+    return of.select("node", "grp").join(low, "grp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD, limit: int = cells.LIMIT) -> DataFrame:
+    """One row for each document: id_col, fp, component (smallest id reachable by links, its own included), own and grp."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the anchors cover thresholds up to {THRESHOLD}")
-    rows = scratch.written(fingerprints(docs, id_col, text_col, size, seeds, check), "fingerprints")
-    reps = scratch.written(rows.groupBy("fps", "check").agg(F.min("doc").alias("rep")), "representatives")
-    known = reps.where("rep IS NOT NULL")
-    links = [compared(placed(known.select(F.col("fps")[k].alias("fp"), "rep", "check")), threshold, most if check else 0) for k in range(len(seeds))]
-    found = components(reduce(DataFrame.union, links)).withColumnRenamed("node", "rep")
-    labels = reps.join(found, "rep", "left").select("fps", "check", F.coalesce("component", "rep").alias("component"))
-    return rows.join(labels, ["fps", "check"]).select(F.col("doc").alias(id_col), F.col("fps")[0].alias("fp"), "component")
+    with scratch.tables(docs.sparkSession) as kept:
+        rows = scratch.written(fingerprints(docs, id_col, text_col, size), "fingerprints")
+        reps = scratch.written(rows.groupBy("fp").agg(F.min("doc").alias("least")).withColumn("node", F.monotonically_increasing_id()), "representatives")
+        labels = grouped(reps.select("node", "least"), compared(placed(reps), threshold, limit))
+        labels = scratch.written(reps.join(labels, "node").select("fp", "grp", "component"), "labels")
+        kept += [rows, labels]
+    return rows.join(labels, "fp").select(F.col("doc").alias(id_col), "fp", "component", "own", "grp")
 
 
-#: Settings for texts with at least 0.8 of their five-word shingles in common. Fingerprints can't find these at every
-#: length (short texts differ in many bits), so they are joined by the shingles themselves.
+#: Settings for texts with at least 0.8 of their five-word shingles in common.
 FIVE_WORDS = {"size": 5, "least": 0.8}
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose id is the least of its group, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col, **how)
-    gone = scratch.written(found.where(f"NOT `{id_col}` <=> component").select(F.col(id_col).alias("sid")).distinct(), "gone")
-    return scratch.matched(docs, gone, docs[id_col].eqNullSafe(gone["sid"]), "left_anti")
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0, **how) -> DataFrame:
+    """Of each group the rows of docs with the least id (none last) and one text, with all their columns.
+
+    Groups are those of near_duplicates, or with `least` those of texts that share so much of their shingles.
+    """
+    with scratch.tables(docs.sparkSession) as kept:
+        if least:
+            found = shingle_join.labelled(source_of(docs, id_col, text_col), least=least, **how)
+        else:
+            found = near_duplicates(docs, id_col, text_col, **how).withColumnRenamed(id_col, "doc")
+        found = scratch.written(found.select("doc", "own", "grp", F.col("doc").isNull().alias("without")), "found")
+        first = scratch.written(found.groupBy("grp").agg(F.min(F.struct("without", "doc", "own")).alias("first")), "firsts")
+        both = found.join(first, "grp").where(~F.struct("without", "doc", "own").eqNullSafe(F.col("first")))
+        gone = scratch.written(both.select(F.col("doc").alias("sid"), F.col("own").alias("sown")).distinct(), "gone")
+        kept.append(gone)
+    on = docs[id_col].eqNullSafe(gone["sid"]) & (own_of(docs[text_col]) == gone["sown"])
+    return scratch.matched(docs, gone, on, "left_anti")

@@ -8,12 +8,14 @@ pair counts at the first filter that it shares, so links are summed without a ta
 a spanning forest. Equal vectors are folded first and weigh as many as they are.
 
 The inner products of two vectors at cosine 0.98 with one direction differ by about 0.2 standard deviations, so each
-nearly always holds the other's best direction. With 16 words in each of 3 blocks a vector of 64 components has about
-20 of 4,096 filters; recall is measured in the tests. More words or blocks make smaller groups for larger tables.
+nearly always holds the other's best direction. A vector has about 20 filters, whatever their number; the number of directions
+follows from the counted vectors of the largest label, so that a group of unlike vectors holds GROUP or so at any size of
+the table (recall is measured in the tests, for several settings). A group of very many alike vectors is
+compared in cells of two blocks (see cells), each a task's worth.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link
-with nothing; vectors of other lengths never link; repeated rows link with each other; an empty table gives no
-rows; other columns are ignored, whatever their names.
+with nothing; a null id names no group; vectors of other lengths never link; repeated rows link with each other; an empty table gives no
+rows; other columns are ignored, whatever their names. Vectors are scaled by a power of two first, so none is too large.
 """
 
 from __future__ import annotations
@@ -25,17 +27,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowdelta.llm import scratch
-from rowdelta.llm.components import components
+from rowdelta.llm import cells, scratch
+from rowdelta.llm.simhash import grouped
 
 COSINE = 0.98
 BLOCKS = 3
+#: Code words of a block at least.
 WORDS = 16
+#: Filters of a vector, about, and vectors of a group that are aimed at.
+LISTED, GROUP = 20, 250
 #: How far the cap lies below the best direction, in standard deviations of the inner product with a random one.
 GAP = 0.5
 SEED = 7
 #: Rows of a group that are compared with the whole group at once.
-STRIPE = 1024
+STRIPE = 256
+#: Vectors of a block in a cell.
+LIMIT = 2048
+
+
+def words_for(vectors: int, blocks: int = BLOCKS) -> int:
+    """Code words of a block for so many vectors of one label."""
+    n = int(np.ceil((vectors * LISTED / GROUP) ** (1 / blocks)))
+    return max(WORDS, n)
 
 
 class ProductCode:
@@ -64,13 +77,18 @@ class ProductCode:
         return row, filter_
 
 
-def _units(vectors: list) -> np.ndarray:
-    x = np.array(vectors, np.float64)
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; a power of two is taken out first, which rounds nothing."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
 def placed(reps: DataFrame, **code) -> DataFrame:
-    """reps (label, vector, rep, n) to one row for each filter of each vector."""
+    """reps (label, vector, node, n) to one row for each filter of each vector."""
     kinds = {f.name: f.dataType.simpleString() for f in reps.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,92 +96,109 @@ def placed(reps: DataFrame, **code) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
-                vectors = part.column(1).to_pylist()
-                for dim in sorted({len(v) for v in vectors}):
-                    mine = np.array([i for i, v in enumerate(vectors) if len(v) == dim])
-                    code_ = codes.setdefault(dim, None) or ProductCode(dim, **code)
-                    codes[dim] = code_
-                    row, filter_ = code_.decode(_units([vectors[i] for i in mine]))
+                sizes = np.diff(part.column(1).offsets.to_numpy())
+                for dim in np.unique(sizes).tolist():
+                    mine = np.flatnonzero(sizes == dim)
+                    if dim not in codes:
+                        codes[dim] = ProductCode(dim, **code)
+                    row, filter_ = codes[dim].decode(units(_matrix(part.column(1).take(pa.array(mine)), dim)))
                     lists = np.split(filter_, np.flatnonzero(np.diff(row)) + 1)
                     rows = pa.array(mine[row])
-                    yield pa.RecordBatch.from_arrays([*(part.column(i).take(rows) for i in range(4)), pa.array(np.full(len(rows), dim, np.int32)), pa.array(filter_), pa.array(lists, pa.list_(pa.int64())).take(pa.array(row))], ["label", "vector", "rep", "n", "dim", "filter", "filters"])
-
-    return reps.mapInArrow(run, f"label {kinds['label']}, vector {kinds['vector']}, rep {kinds['rep']}, n long, dim int, filter long, filters array<bigint>")
-
-
-def group_links(unit: np.ndarray, weight: np.ndarray, filters: list[list[int]], here: int, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Of the pairs whose first shared filter is this one: each row's linked weight, and a spanning forest."""
-    n, total, edges, root = len(unit), np.zeros(len(unit), np.int64), [], list(range(len(unit)))
-    earlier = {f: i for i, f in enumerate(sorted({f for fs in filters for f in fs if f < here}))}
-    member = np.zeros((n, len(earlier)), np.float32)
-    for i, fs in enumerate(filters):
-        member[i, [earlier[f] for f in fs if f < here]] = 1
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+                    yield pa.RecordBatch.from_arrays([*(part.column(i).take(rows) for i in range(4)), pa.array(np.full(len(rows), dim, np.int32)), pa.array(filter_), pa.array(lists, pa.list_(pa.int64())).take(pa.array(row))], ["label", "vector", "node", "n", "dim", "filter", "filters"])
+
+    return reps.select("label", "vector", "node", "n").mapInArrow(run, f"label {kinds['label']}, vector {kinds['vector']}, node long, n long, dim int, filter long, filters array<bigint>")
+
+
+def spanning(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs (a, b) that make a spanning forest of them all; label, each row's class, is brought up to date.
+
+    In each round every class takes its first pair to another class, and classes join, as in Boruvka's method.
+    """
+    taken = []
+    while True:
+        x, y = label[a], label[b]
+        open_ = np.flatnonzero(x != y)
+        if not len(open_):
+            return np.array(taken, np.int64)
+        low, high = np.minimum(x[open_], y[open_]), np.maximum(x[open_], y[open_])
+        _, first = np.unique(high, return_index=True)  # a class hangs below a lower one, so there are no rings
+        taken += open_[first].tolist()
+        to = np.arange(len(label))
+        to[high[first]] = low[first]
+        while not np.array_equal(after := to[to], to):
+            to = after
+        label[:] = to[label]
+
+
+def group_links(unit: np.ndarray, weight: np.ndarray, filters: list[np.ndarray], here: int, cosine: float, block: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Of the pairs whose first shared filter is this one: each row's linked weight, and a spanning forest. With blocks, pairs of two."""
+    n, total, edges, label, member = len(unit), np.zeros(len(unit), np.int64), [], np.arange(len(unit)), None
     for at in range(0, n, STRIPE):
         near = unit[at : at + STRIPE] @ unit.T >= cosine
         near[np.arange(len(near)), np.arange(at, at + len(near))] = False
+        if block is not None:
+            near &= block[at : at + STRIPE, None] != block
         if not near.any():
             continue
+        if member is None:
+            rows = np.repeat(np.arange(n), [len(f) for f in filters])
+            all_ = np.concatenate(filters)
+            rows, all_ = rows[all_ < here], all_[all_ < here]
+            number, column = np.unique(all_, return_inverse=True)
+            member = np.zeros((n, len(number)), np.float32)
+            member[rows, column] = 1
         near &= member[at : at + STRIPE] @ member.T == 0
         total[at : at + STRIPE] = near @ weight
-        for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-            if i + at < j and (a := find(i + at)) != (b := find(j)):
-                root[a] = b
-                edges.append((i + at, j))
+        i, j = np.nonzero(near)
+        i, j = i[i + at < j] + at, j[i + at < j]
+        new = spanning(i, j, label)
+        edges += zip(i[new].tolist(), j[new].tolist())
     return total, edges
 
 
-def linked(points: DataFrame, cosine: float = COSINE) -> DataFrame:
+def linked(points: DataFrame, cosine: float = COSINE, limit: int = LIMIT) -> DataFrame:
     """(a, b, links): for each group, a's linked weight with b null, and forest links (a, b) with links null."""
-    kind = points.schema["rep"].dataType.simpleString()
+    keys = ["label", "dim", "filter"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-
-        def found(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(rows).combine_chunks()
-            rep = t["rep"].combine_chunks()
-            total, edges = group_links(_units(t["vector"].to_pylist()), t["n"].to_numpy(), t["filters"].to_pylist(), t["filter"][0].as_py(), cosine)
-            some = np.flatnonzero(total)
-            a, b = ([int(x) for x in some] + [e[0] for e in edges], [None] * len(some) + [e[1] for e in edges])
+        for t, starts in cells.groups(batches, keys):
+            dim, here, weight = (t[k].to_numpy() for k in ("dim", "filter", "n"))
+            low, high, block = cells.unpacked(t["cell"].to_numpy())
+            node, vectors, filters = (t[k].combine_chunks() for k in ("node", "vector", "filters"))
+            a, b, links = [], [], []
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(dim)]):
+                if end - start < 2:
+                    continue
+                at = slice(start, end)
+                lists = filters.slice(start, end - start)
+                lists = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+                unit = units(_matrix(vectors.slice(start, end - start), int(dim[start])))
+                total, edges = group_links(unit, weight[at], lists, int(here[start]), cosine, block[at] if low[start] < high[start] else None)
+                some = np.flatnonzero(total)
+                a += (some + start).tolist() + [e[0] + start for e in edges]
+                b += [None] * len(some) + [e[1] + start for e in edges]
+                links += total[some].tolist() + [None] * len(edges)
             if a:
-                yield pa.RecordBatch.from_arrays([rep.take(pa.array(a, pa.int64())), rep.take(pa.array(b, pa.int64())), pa.array([*total[some].tolist(), *[None] * len(edges)], pa.int64())], ["a", "b", "links"])
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(a, pa.int64())), node.take(pa.array(b, pa.int64())), pa.array(links, pa.int64())], ["a", "b", "links"])
 
-        for batch in batches:
-            keys = list(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("label", "dim", "filter"))))
-            start = 0
-            for i, key in enumerate(keys):
-                if key != now:
-                    if i > start:
-                        held.append(batch.slice(start, i - start))
-                    if sum(map(len, held)) > 1:
-                        yield from found(held)
-                    held, now, start = [], key, i
-            if len(keys) > start:
-                held.append(batch.slice(start))
-        if sum(map(len, held)) > 1:
-            yield from found(held)
-
-    keys = ["label", "dim", "filter"]
-    return points.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"a {kind}, b {kind}, links long")
+    return cells.gathered(cells.dealt(points, keys, "vector", limit), keys).mapInArrow(run, "a long, b long, links long")
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, **code) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, limit: int = LIMIT, **code) -> DataFrame:
     """One row for each vector: id_col, n_links, component (smallest id reachable, its own included)."""
-    rows = scratch.written(vectors.select(F.col(id_col).alias("vec"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector")), "vectors")
-    finite = "forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(CAST(x AS DOUBLE)) < double('Infinity')) AND exists(vector, x -> x <> 0)"
-    fit = F.expr(f"coalesce(vec IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL AND {finite}, false)")
-    reps = scratch.written(rows.where(fit).groupBy("label", "vector").agg(F.min("vec").alias("rep"), F.count("*").alias("n")), "distinct")
-    out = scratch.written(linked(placed(reps, **code), cosine), "links")
-    links = out.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    parts = components(out.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")
-    known = reps.join(links, "rep", "left").join(parts, "rep", "left").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    with scratch.tables(vectors.sparkSession) as kept:
+        rows = scratch.written(vectors.select(F.col(id_col).alias("vec"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector")), "vectors")
+        finite = "forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(CAST(x AS DOUBLE)) < double('Infinity')) AND exists(vector, x -> x <> 0)"
+        fit = F.expr(f"coalesce(label IS NOT NULL AND vector IS NOT NULL AND {finite}, false)")
+        reps = rows.where(fit).groupBy("label", "vector").agg(F.min("vec").alias("least"), F.count("*").alias("n"))
+        reps = scratch.written(reps.withColumn("node", F.monotonically_increasing_id()), "distinct")
+        largest = reps.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+        out = scratch.written(linked(placed(reps, **({"words": words_for(largest)} | code)), cosine, limit), "links")
+        links = out.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+        parts = grouped(reps.select("node", "least"), out.where("b IS NOT NULL").select("a", "b"))
+        known = reps.join(links, "node", "left").join(parts, "node").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component")
+        known = scratch.written(known, "known")
+        kept += [rows, known]
     good = rows.where(fit).join(known, ["label", "vector"]).select("vec", "n_links", "component")
     bad = rows.where(~fit).select("vec", F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component"))
     return good.union(bad).withColumnRenamed("vec", id_col)

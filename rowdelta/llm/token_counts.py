@@ -2,9 +2,10 @@
 
 The cache is a Parquet table (content_digest, tokenizer_digest, n_tokens) in shared storage. A document's content
 is normalised no further than its tokenizer ignores: a vocabulary that drops white space has runs of it folded to
-one space, any other keeps the text as it is. Documents are joined to the cache on both digests; of what is missing,
-each distinct content is encoded once and its count appended, and the answer is read from the cache. Copies meet in
-a partial aggregate before the shuffle, so a content held by a third of all rows costs one row for each task.
+one space, any other keeps the text as it is. The distinct digests of the documents are joined to the cache; of what
+is missing, each distinct content is encoded once and its count appended. The answer for each digest is then a table of its
+own, to which the documents are joined: both sides are plain scans, so adaptive execution splits a digest that a
+third of all rows have. Copies meet in a partial aggregate before every other shuffle.
 
 Cases: a null text counts as empty; null ids and repeated rows are kept; an empty table gives no rows; other
 columns are ignored, whatever their names. A job that is repeated after a failure finds what the first one appended;
@@ -17,7 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowdelta.llm import arrow, scratch, tokens
@@ -63,25 +64,40 @@ def normalised(text: Column, folds: bool) -> Column:
     return F.trim(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " ")) if folds else text
 
 
+def opened(spark: SparkSession, cache: str, version: str) -> DataFrame:
+    """(content_digest, stored) of one tokenizer's counts; a cache that is not there yet is made, without rows."""
+    spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
+    mine = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer_digest") == version)
+    return mine.groupBy("content_digest").agg(F.max("n_tokens").alias("stored"))
+
+
 def count_tokens(docs: DataFrame, cache: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id_col, n_bytes (UTF-8), n_tokens. cache: folder of the cache; made if absent."""
     spark, path = docs.sparkSession, path or tokens.vocabulary()
     version, folds = tokenizer_digest(path), counter(path)[1]
     source = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = source.select("doc", "text", F.unhex(F.sha2(normalised(F.col("text"), folds), 256)).alias("content_digest"))
-    rows = scratch.written(keyed.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest"), "digests")
-
-    at = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    have = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    known = lambda: spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    missing = keyed.join(known(), "content_digest", "left_anti") if have else keyed
-    missing = missing.groupBy("content_digest").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)[0]
         for part, texts in arrow.slices(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(texts), pa.int64())], ["content_digest", "n_tokens"])
 
-    counts = missing.mapInArrow(run, "content_digest binary, n_tokens long")
-    counts.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
-    return rows.join(known(), "content_digest").select(F.col("doc").alias(id_col), "n_bytes", "n_tokens")
+    with scratch.tables(spark) as kept:
+        rows = scratch.written(keyed.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest"), "digests")
+        asked = rows.select("content_digest").distinct().join(opened(spark, cache, version), "content_digest", "left")
+        asked = scratch.written(asked, "asked")
+        missing = asked.where("stored IS NULL").select("content_digest")
+        held = asked.where("stored IS NOT NULL")
+        texts = keyed.select("content_digest", "text")
+        once = lambda t: t.groupBy("content_digest").agg(F.first("text").alias("text"))
+        if scratch.few(missing):
+            texts = once(texts.join(F.broadcast(missing), "content_digest", "left_semi"))
+        else:  # copies meet before the shuffle, which the join then shares
+            texts = once(texts).join(missing, "content_digest", "left_semi")
+        counts = texts.mapInArrow(run, "content_digest binary, n_tokens long")
+        fresh = scratch.written(counts, "fresh")
+        fresh.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
+        answers = scratch.written(held.select("content_digest", F.col("stored").alias("n_tokens")).union(fresh), "answers")
+        kept += [rows, answers]
+    return rows.join(answers, "content_digest").select(F.col("doc").alias(id_col), "n_bytes", "n_tokens")

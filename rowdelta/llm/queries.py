@@ -26,7 +26,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only documents with a passage to take out have rows; first_id is the document that keeps it."""
-    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +51,15 @@ TOKEN_LIMIT = 2048
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over a cache that starts empty, in the shared folder; a standing job names a lasting one."""
-    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), scratch.folder(spark, "cache"))
-    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+    """Counts of the documents that are marked toxic are in the cache when all documents ask for theirs: hits and misses in one run.
+
+    The cache lies in the shared folder and goes with the application; a standing job names a lasting one.
+    """
+    docs, cache = table(spark, sf_dir, "documents"), scratch.folder(spark, "cache")
+    marked = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    with scratch.released(spark):
+        token_counts.count_tokens(docs.join(marked, "doc_id", "left_semi"), cache)
+    return token_counts.count_tokens(docs, cache).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

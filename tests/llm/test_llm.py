@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowdelta.llm import automaton, bpe, components, exact_dedup, packing, pii, secret_scan, simhash, substring_dedup, token_counts, tokens, toxicity, vector_dedup
+from rowdelta.llm import automaton, bpe, components, exact_dedup, packing, pii, secret_scan, shingle_join, simhash, substring_dedup, token_counts, tokens, toxicity, vector_dedup
 
 WORDS = "the of river stone blue window under paper small garden light seven table north quiet idea music water green letter".split()
 
@@ -98,8 +98,12 @@ def test_simhash_anchors_cover_every_pair_within_three_bits():
     assert met.all()
 
 
+def five_words(df, **how):
+    return shingle_join.labelled(simhash.source_of(df, "doc_id", "text"), **simhash.FIVE_WORDS, **how).withColumnRenamed("doc", "doc_id")
+
+
 def test_simhash_five_words_finds_near_copies_and_leaves_others(spark, docs):
-    got = dict(pairs(simhash.near_duplicates(docs.where("doc_id IS NOT NULL AND doc_id <> 3"), **simhash.FIVE_WORDS), "doc_id", "component"))
+    got = dict(pairs(five_words(docs.where("doc_id IS NOT NULL AND doc_id <> 3")), "doc_id", "component"))
     first = 9
     for i in range(6):
         assert got[first + 16 + i] == got[first + i] == first + i
@@ -140,9 +144,10 @@ def test_simhash_five_words_finds_every_pair_at_any_length(spark):
             texts += [" ".join(a), " ".join(b)]
     near = [i for i in range(0, len(texts), 2) if jaccard(texts[i], texts[i + 1]) >= 0.8]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = dict(pairs(simhash.near_duplicates(df, **simhash.FIVE_WORDS), "doc_id", "component"))
-    assert len(near) > 100 and all(got[i] == got[i + 1] == i for i in near)
-    assert len(set(got.values())) == len(texts) - len(near)
+    for how in ({}, {"limit": 3, "members": 2}):  # in one cell, and in cells of two blocks
+        got = dict(pairs(five_words(df, **how), "doc_id", "component"))
+        assert len(near) > 100 and all(got[i] == got[i + 1] == i for i in near)
+        assert len(set(got.values())) == len(texts) - len(near)
 
 
 def test_exact_dedup(spark, docs, empty):
@@ -316,44 +321,91 @@ def test_toxicity(spark, empty):
     assert all(r.held == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
     assert max(model.accuracy.values()) > 0.9
     none = toxicity.fit(df, labels.limit(0))
-    assert none is toxicity.PLAIN and none.score("you idiot") > 0.5 > none.score("")
+    assert none.score("you idiot") == none.score("") == pytest.approx(1 / (1 + np.exp(2)))
+    few = toxicity.fit(df, labels.where("doc_id < 60"))
+    assert few.rows < 60 and few.score("you idiot moron") > 0.5 > few.score("a small garden")
     odd = toxicity.scored(spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string"), model)
     assert odd.count() == 2 and toxicity.scored(empty, model).count() == 0
 
 
 def test_substring_dedup(spark, docs, empty):
     rng = random.Random(8)
-    passage = words(rng, 60)
+    passage, line = words(rng, 60), words(rng, 45)
     rows = [(i, f"{words(rng, 80)} {passage if i in (2, 5, 9) else ''} {words(rng, 40)}") for i in range(12)]
-    df = spark.createDataFrame([*rows, (20, None), (21, ""), (None, passage), (5, rows[5][1])], "doc_id long, text string")
+    odd = [(20, None), (21, ""), (None, f"{words(rng, 30)} {passage}"), (2, f"{words(rng, 90)} {passage}"), (30, f"{line} {line} {line} {words(rng, 50)}"), (31, "ü" * 700)]
+    df = spark.createDataFrame([*rows, *odd], "doc_id long, text string").withColumn("row", F.lit("x"))
     got = pairs(substring_dedup.repeated_passages(df), "doc_id", "start", "end", "first_id")
-    assert {d for d, *_ in got} == {5, 9} and {f for *_, f in got} == {2}
+    assert sorted(str(d) for d, *_ in got if d != 31) == ["2", "30", "5", "9", "None"]
+    assert all(f in (2, 5) for d, _, _, f in got if d in (5, 9, 2, None)) and {f for d, _, _, f in got if d == 30} == {30}
     for d, a, b, _ in got:
-        assert rows[d][1].encode()[a:b].decode(errors="ignore") in rows[2][1]
-    left = dict(pairs(substring_dedup.without_passages(df), "doc_id", "text"))
-    assert left[2] == rows[2][1] and len(left[9]) < len(rows[9][1]) - 150 and left[20] is None
-    assert substring_dedup.repeated_passages(empty).count() == 0
-    # an insertion moves boundaries only near itself
+        if d in (5, 9):
+            assert rows[d][1].encode()[a:b].decode(errors="ignore") in rows[2][1]
+    out = substring_dedup.without_passages(df)
+    assert out.columns == df.columns and {r.row for r in out.collect()} == {"x"}
+    left = sorted((str(d), t) for d, t in pairs(out, "doc_id", "text"))
+    assert ("2", rows[2][1]) in left or ("2", odd[3][1]) in left  # one of the two keeps the passage
+    assert sum(passage in (t or "") for _, t in left) == 1 and ("20", None) in left and all(set(t) == {"ü"} for d, t in left if d == "31")
+    assert len(next(t for d, t in left if d == "30")) < len(odd[4][1]) - len(line)
+    assert substring_dedup.repeated_passages(empty).count() == 0 and substring_dedup.repeated_passages(docs).count() > 0
+    # an insertion moves cut points only near itself
     text = words(rng, 2000).encode()
+
     def cut(t):
-        ends = substring_dedup.chunked([t])[0]
+        ends = substring_dedup.segmented([t])[0]
         return [t[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
     assert len(set(cut(text)) - set(cut(text[:500] + b"inserted " + text[500:]))) < 8
     assert b"".join(cut(text)) == text
 
 
+def test_substring_dedup_against_brute_force(spark):
+    """Chunks by a plain loop; the kept copy of each is the first in order of id and place."""
+    rng = random.Random(12)
+    parts = [words(rng, n) for n in (40, 55, 70, 20, 90)]
+    texts = [" ".join(rng.choice(parts) if rng.random() < 0.5 else words(rng, rng.randrange(5, 40)) for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    first, want = {}, []
+    for i, t in enumerate(texts):
+        data, ends = t.encode(), substring_dedup.segmented([t.encode()])[0]
+        cuts = [0, *ends]
+        spans = [(cuts[k], cuts[min(k + substring_dedup.SPAN, len(ends))]) for k in range(max(1, len(ends) - substring_dedup.SPAN + 1))]
+        for k, (a, b) in enumerate(spans):
+            first.setdefault(data[a:b], (i, k))
+        keeps = [first[data[a:b]] == (i, k) for k, (a, b) in enumerate(spans)]
+        k = 0
+        while k < len(spans):
+            m = k
+            while m < len(spans) and not keeps[m]:
+                m += 1
+            if m > k:
+                a, b = spans[k][0], spans[m - 1][1]
+                whole = t.encode()[a:b]
+                n = sum(1 for j in range(a, b) if data[j] != 32 and (j == 0 or data[j - 1] == 32))
+                a = max([a, *(spans[j][1] for j in range(k) if keeps[j])])
+                b = min([b, *(spans[j][0] for j in range(m, len(spans)) if keeps[j])])
+                if n >= substring_dedup.WORDS and a < b and whole:
+                    want.append((i, a, b))
+            k = m + 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert sorted(pairs(substring_dedup.repeated_passages(df), "doc_id", "start", "end")) == sorted(want) and len(want) > 20
+
+
+PEOPLE = "Mrs. Anna Smith met Mr Smith; Госпожа Анна Иванова. Mr. John A. Smith, Mr Jean-Luc Picard, Mr. O'Brien's car and Dr. Anna Smith. Anna Smith went; John A. Smith and Picard stayed."
+
+
 def test_pii(spark, docs, empty):
     rows = [
         (1, "Call +1 (917) 555-2670 or 917-555-2670, mail Ann.Lee10@Mail9.example.com and ann.lee10@mail9.example.com."),
         (2, "Card 4207051279108084 vs 4207 0512 7910 8084, bad 4207051279108085. IP 71.77.118.93. SSN 123-45-6789"),
-        (3, "Mrs. Anna Smith met Mr Smith; Госпожа Анна Иванова"), (4, None), (5, ""), (6, "version 1.2.3.4.5, 12345678901234567890, a@b, it's \\d"),
+        (3, PEOPLE), (4, None), (5, ""), (6, "version 1.2.3.4.5, 12345678901234567890, a@b, it's \\d std::vector 12:30:45"),
+        (7, "+49 30 1234567 or +49301234567; DE89 3704 0044 0532 0130 00, GB82WEST12345698765432, DE00 3704 0044 0532 0130 00; 2001:db8::1 = 2001:0db8:0000:0000:0000:0000:0000:0001, FE80::AB:12"),
+        (7, "again +49 30 1234567"), (None, "x@example.org " + "long " * 50_000),
     ]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit("k"))
-    out = pii.replaced(df, count_col="n")
-    assert out.columns == ["doc_id", "text", "kind", "n"]
-    got = {r.doc_id: r for r in out.collect()}
-    assert got[4].text is None and got[5].text == "" and got[6].text == rows[5][1] and got[6].n == 0
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit("k")).withColumn("entity", F.lit(1))
+    out = pii.replaced(df, key="secret", count_col="n")
+    assert out.columns == ["doc_id", "text", "kind", "entity", "n"]
+    every = out.collect()
+    got = {r.doc_id: r for r in every if not (r.text or "").startswith("again")}
+    assert got[4].text is None and got[5].text == "" and got[6].text == rows[5][1] and got[6].n == 0 and len(every) == len(rows)
     phones = re.findall(r"\(?\d{3}\)?[ -]\d{3}-\d{4}", got[1].text)
     assert len({re.sub(r"\D", "", p) for p in phones}) == 1 and "555-2670" not in got[1].text and "+1 (" in got[1].text
     mails = re.findall(r"[\w.]+@[\w.]+", got[1].text)
@@ -361,28 +413,86 @@ def test_pii(spark, docs, empty):
     cards = re.findall(r"\d{16}|\d{4} \d{4} \d{4} \d{4}", got[2].text)
     luhn = lambda c: sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, c))) % 10 == 0
     assert cards[0] == cards[1].replace(" ", "") and luhn(cards[0]) and cards[2] == "4207051279108085"
-    assert re.search(r"Mrs\. (\w+) \w+ met Mr \w+;", got[3].text)[1] in pii.NAMES["f", "latin"]
-    assert re.search(r"Госпожа (\w+) [а-яё]+$", got[3].text, re.I)[1] in pii.NAMES["f", "cyrillic"] and "Smith" not in got[3].text
     assert got[2].n == 4 and pii.replaced(empty).count() == 0
+    abroad = re.search(r"(\+49 \d\d \d{7}) or (\+49\d{9});", got[7].text)
+    assert abroad[1].replace(" ", "") == abroad[2] != "+49301234567" and any(r.text == f"again {abroad[1]}" for r in every)
+    german, british = re.search(r"(DE\d\d(?: \d{4}){4} \d\d), (GB\d\d[A-Z]{4}\d{14}), DE00 3704 0044 0532 0130 00", got[7].text).groups()
+    rest = lambda x: int("".join(str(int(c, 36)) for c in x.replace(" ", "")[4:] + x[:4])) % 97
+    assert rest(german) == rest(british) == 1 and "3704 0044 0532" not in german and "WEST" not in british
+    short, long = re.search(r"([0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]) = (\S+),", got[7].text).groups()
+    import ipaddress
+
+    assert ipaddress.ip_address(short) == ipaddress.ip_address(long) != ipaddress.ip_address("2001:db8::1") and re.search(r"[0-9A-F]{4}::[0-9A-F]{2}:[0-9A-F]{2}$", got[7].text)
+    assert got[None].text.endswith("long " * 50_000) and "x@example.org" not in got[None].text
     assert pii.replaced(docs).columns == docs.columns
 
 
+def test_pii_names_keep_coreference_gender_and_script(spark):
+    text = pii.replaced(spark.createDataFrame([(1, PEOPLE), (2, "Frau Smith")], "doc_id long, text string"), key="k").orderBy("doc_id").collect()
+    pattern = r"Mrs\. (\w+) (\w+) met Mr (\w+); Госпожа (\w+) (\w+)\. Mr\. (\w+) (\w)\. (\w+), Mr (\w+)-(\w+) (\w+), Mr\. (\w+)'s car and Dr\. (\w+) (\w+)\. (\w+) (\w+) went; (\w+) (\w)\. (\w+) and (\w+) stayed\."
+    g = re.fullmatch(pattern, text[0].text).groups()
+    smith = g[1]
+    assert {g[2], g[7], g[13], g[15], g[18]} == {smith} and text[1].text == f"Frau {smith}"
+    assert g[0] == g[12] == g[14] and g[0] in pii.NAMES["f", "latin"] and g[3] in pii.NAMES["f", "cyrillic"] and re.fullmatch("[А-Я][а-яё]+", g[4])
+    assert g[5] in pii.NAMES["m", "latin"] and (g[5], g[6]) == (g[16], g[17]) and g[8] in pii.NAMES["m", "latin"] and g[19] == g[10] != smith
+    for real in ("Anna", "Smith", "John", "Jean", "Luc", "Picard", "Brien", "Иванова"):
+        assert real not in (set(g) - {g[0], g[3]} if real == "Anna" else set(g))
+
+
+def test_pii_against_brute_force(spark):
+    """Entities found by a plain parser of made texts; one surrogate for each, none shared, none an entity."""
+    rng, rows, want = random.Random(9), [], []
+    for i in range(120):
+        found, parts = [], []
+        for _ in range(rng.randrange(6)):
+            kind = rng.choice(["email", "ip", "ssn"])
+            e = {"email": f"{rng.choice('abc')}{rng.randrange(12)}@{rng.choice('xy')}.org", "ip": f"10.0.{rng.randrange(3)}.{rng.randrange(30)}", "ssn": f"{rng.randrange(100, 130)}-45-6789"}[kind]
+            found.append((kind, e))
+            parts += [words(rng, rng.randrange(1, 4)), e]
+        rows.append((i, " ".join([*parts, "end"])))
+        want.append(found)
+    out = {r.doc_id: r for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string"), key="k", count_col="n").collect()}
+    real, given = {e for f in want for e in f}, {}
+    shape = {"email": r"[a-z0-9]+@[a-z]\.org", "ip": r"\d+\.\d+\.\d+\.\d+", "ssn": r"\d{3}-\d\d-\d{4}"}
+    for i, found in enumerate(want):
+        assert out[i].n == len(found)
+        new = re.findall("|".join(shape.values()), out[i].text)
+        assert len(new) == len(found) and all(re.fullmatch(shape[k], s) for (k, _), s in zip(found, new))
+        for e, s in zip(found, new):
+            assert given.setdefault(e, s) == s
+    assert len(set(given.values())) == len(given) > 60 and not {(k, s) for (k, _), s in given.items()} & real
+
+
+def test_pii_short_addresses_never_run_out(spark):
+    rows = [(i, f"{i % 10}@{i // 10}.de") for i in range(100)]
+    out = pii.replaced(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()
+    assert len({r.text for r in out}) == 100 and not {r.text for r in out} & {t for _, t in rows}
+
+
 def test_pii_collisions_are_drawn_again(spark, monkeypatch):
     rows = [(i, f"ip 10.0.0.{i} and 10.0.0.{i % 7}") for i in range(1, 40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    real = pii.surrogate
 
-    def few(kind, c, attempt, key=pii.KEY):  # a hundred first surrogates collide often
-        return f"concat('9.9.9.', CAST(conv(substring(sha2(concat({c}, '|', {attempt}), 256), 1, 4), 16, 10) AS INT) % 100)"
+    def few(kind, entity, attempt, key):  # a hundred surrogates, which collide often
+        return F.concat(F.lit("9.9.9."), (F.conv(F.substring(F.sha2(F.concat_ws("|", entity, attempt.cast("string")), 256), 1, 4), 16, 10).cast("int") % 100).cast("string"))
 
     monkeypatch.setattr(pii, "surrogate", few)
-    again = pii.attempts(pii.entities(df))
+    again = pii.attempts(pii.entities(df), "k")
     assert again is not None and again.count() > 0
-    out = {r.doc_id: re.findall(r"[\d.]+", r.text) for r in pii.replaced(df).collect()}
+    out = {r.doc_id: re.findall(r"[\d.]+", r.text) for r in pii.replaced(df, key="k").collect()}
     single = {f"10.0.0.{i}": out[i][0] for i in out}
     assert len(set(single.values())) == len(single)
     assert all(out[i][1] == single[f"10.0.0.{i % 7}"] for i in out if i % 7)
-    monkeypatch.setattr(pii, "surrogate", real)
+
+
+def test_pii_key(spark):
+    import hmac
+
+    for key in ("k", "k" * 100):
+        assert spark.range(1).select(pii.mac(F.lit("grüße"), key)).first()[0] == hmac.new(key.encode(), "grüße".encode(), hashlib.sha256).hexdigest()
+    assert pii.key_of(spark) == pii.key_of(spark) != "rowdelta" and len(pii.key_of(spark)) == 64
+    df = spark.createDataFrame([(1, "a.b.c.d.e@example.com")], "doc_id long, text string")
+    assert len({pii.replaced(df, key=k).first().text for k in ("a", "b")}) == 2
 
 
 def test_vector_dedup(spark):
@@ -424,6 +534,164 @@ def test_vector_filters_hold_pairs_at_the_bound():
     assert np.mean([bool(set(p) & set(q)) for p, q in zip(*lists)]) > 0.995
 
 
+def test_vectors_in_cells_of_two_blocks(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(32)
+    rows = [(i, 1, (base + 0.18 * rng.standard_normal(32)).tolist()) for i in range(900)] + [(1000 + i, 1, rng.standard_normal(32).tolist()) for i in range(100)]
+    rows += [(None, 1, rows[3][2]), (5, 1, rows[7][2]), (2000, 1, [1e200] * 32), (2001, 1, [1.1e200] * 31 + [1.0e200])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    x = np.array([r[2] for r in rows])
+    x /= np.abs(x).max(1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.98
+    want = sorted((str(r[0]), int(n) - 1) for r, n in zip(rows, near.sum(1)))
+    assert 1000 < near.sum() - len(rows)
+    for limit in (64, 4096):
+        got = sorted((str(i), n) for i, n in pairs(vector_dedup.near_duplicates(df, limit=limit), "vec_id", "n_links"))
+        assert sum(n for _, n in got) >= 0.99 * sum(n for _, n in want) and all(g <= w for (_, g), (_, w) in zip(got, want))
+    assert [vector_dedup.words_for(n) for n in (10, 50_000, 10_000_000)] == [16, 16, 93]
+
+
+def test_vector_filters_with_more_directions_hold_pairs_too():
+    rng = np.random.default_rng(2)
+    a, o = rng.standard_normal((2, 1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o -= (o * a).sum(1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+    for words_ in (32, 96):
+        code, lists = vector_dedup.ProductCode(64, words=words_), []
+        for x in (a, b):
+            row, filters = code.decode(x)
+            assert len(filters) < 60 * len(x)
+            lists.append(np.split(filters, np.flatnonzero(np.diff(row)) + 1))
+        assert np.mean([bool(set(p) & set(q)) for p, q in zip(*lists)]) > 0.99
+
+
+def test_spanning_forests():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        n = int(rng.integers(2, 30))
+        a, b = rng.integers(0, n, (2, int(rng.integers(0, 50))))
+        label = np.arange(n)
+        taken = vector_dedup.spanning(a, b, label)
+        root = list(range(n))
+        for x, y in zip(a.tolist(), b.tolist()):
+            root = [min(root[x], root[y]) if r in (root[x], root[y]) else r for r in root]
+        assert label.tolist() == root and len(taken) == n - len(set(root))
+
+
+def test_anchors_and_tokens_in_cells_of_two_blocks(spark, docs):
+    plain = {(r.doc_id, r.fp): r.component for r in simhash.near_duplicates(docs).collect()}
+    assert plain == {(r.doc_id, r.fp): r.component for r in simhash.near_duplicates(docs, limit=2).collect()}
+
+
+def test_frequent_shingles_go_last_and_change_nothing(spark):
+    rng = random.Random(3)
+    common = words(rng, 60)
+    texts = [f"{common} {words(rng, 30)}" for _ in range(40)] + [f"{words(rng, 200)}" for _ in range(10)]
+    texts += [t + " more" for t in texts[::7]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = shingle_join.described(simhash.source_of(df, "doc_id", "text"), 5)
+    late = shingle_join.frequent(rows, 30)
+    assert len(late) == 56
+    hashes = np.frombuffer(rows.where("doc = 0").first().hashes, np.uint64)
+    assert not set(shingle_join.prefix(hashes, 0.8, late).tolist()) & set(late.tolist())
+    want = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    sets = rows.withColumn("node", F.col("doc"))
+    for order in (late, late[:0]):
+        got = {frozenset(r) for r in pairs(components.components(shingle_join.candidates(shingle_join.tokens(sets, 0.8, order), 0.8)), "node", "component")}
+        ends = {n for f in got for n in f}
+        assert want and all(i in ends and j in ends for i, j in want)
+
+
+def test_survivors_of_rows_that_share_an_id(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta", "one two three four five six seven", "red green blue black white brown pink")
+    df = spark.createDataFrame([(1, a), (3, a), (3, b), (None, a), (None, c), (None, None), (4, None)], "doc_id long, text string")
+    for how in (simhash.FIVE_WORDS, {}):
+        left = sorted(map(str, pairs(simhash.survivors(df, **how), "doc_id", "text")))
+        assert left == sorted(map(str, [(1, a), (3, b), (None, c), (4, None)]))
+
+
+def test_exact_dedup_over_rows_in_another_order_each_time(spark):
+    df = spark.createDataFrame([(i, f"text {i % 20}") for i in range(2000)], "doc_id long, text string").repartition(7).orderBy(F.rand())
+    assert not exact_dedup._is_scan(df)
+    got = pairs(exact_dedup.deduplicate(df), "doc_id", "keep_id", "group_size", "kept")
+    assert sorted(got) == [(i, i % 20, 100, i < 20) for i in range(2000)]
+    assert sorted(r.doc_id for r in exact_dedup.survivors(df).collect()) == list(range(20))
+
+
+def test_components_and_counts_join_plain_scans(spark, docs, tmp_path):
+    """No aggregate between a shuffle and a join that may be skewed."""
+    spark.createDataFrame([(i, 0) for i in range(1, 50)], "u long, v long").write.parquet(str(tmp_path / "stars"))
+    stars = spark.read.parquet(str(tmp_path / "stars"))
+    plans = [x[0]._jdf.queryExecution().optimizedPlan().toString() for x in (components.large_star(stars), components.small_star(stars.selectExpr("u", "v")))]
+    plans.append(token_counts.count_tokens(docs, str(tmp_path / "c"))._jdf.queryExecution().optimizedPlan().toString())
+    assert all("Join" in p and "Aggregate" not in p for p in plans)
+
+
+def test_token_counts_of_hits_and_misses(spark, docs, tmp_path):
+    cache = str(tmp_path / "cache")
+    want = sorted(map(str, pairs(token_counts.count_tokens(docs, str(tmp_path / "other")), "doc_id", "n_tokens")))
+    token_counts.count_tokens(docs.where("doc_id % 2 = 0"), cache)
+    spark.read.parquet(cache).where("false").write.mode("append").parquet(cache)
+    held = spark.read.parquet(cache).count()
+    assert 0 < held and sorted(map(str, pairs(token_counts.count_tokens(docs, cache), "doc_id", "n_tokens"))) == want
+    assert spark.read.parquet(cache).count() == spark.read.parquet(cache).select("content_digest").distinct().count() > held
+
+
+def test_label_model_against_plain_em():
+    """Without links the tree is empty: the posteriors are those of independent voters, by a plain loop."""
+    rng = np.random.default_rng(0)
+    y = rng.random(400) < 0.3
+    right = np.array([0.9, 0.8, 0.7, 0.85])
+    votes = np.where(rng.random((400, 4)) < right, np.where(y[:, None], 1, -1), np.where(y[:, None], -1, 1)) * (rng.random((400, 4)) < 0.8)
+    got, accuracy, _ = toxicity._label_model(votes.astype(np.int8), 0.3, settled=0)
+    p = [0.99 if s > 0 else 0.01 if s < 0 else 0.3 for s in votes.sum(1)]
+    first = list(p)
+    for _ in range(40):
+        table = {}
+        for j in range(4):
+            for c in (0, 1):
+                n = {v: 0.5 / 3 for v in (-1, 0, 1)}
+                for i in range(400):
+                    n[votes[i, j]] += (p[i] if c else 1 - p[i]) + toxicity.ANCHOR * (first[i] if c else 1 - first[i])
+                table[j, c] = {v: x / sum(n.values()) for v, x in n.items()}
+        odds = [0.3 / 0.7 * np.prod([table[j, 1][votes[i, j]] / table[j, 0][votes[i, j]] for j in range(4)]) for i in range(400)]
+        p = [o / (1 + o) for o in odds]
+    assert np.allclose(got, p, atol=1e-6) and ((got > 0.5) == y).mean() > 0.9 and accuracy.argmax() == 0
+
+
+def test_label_model_links_voters_that_say_the_same():
+    rng = np.random.default_rng(1)
+    y = rng.random(3000) < 0.4
+    vote = lambda right: np.where(rng.random(3000) < right, np.where(y, 1, -1), np.where(y, -1, 1))
+    poor = vote(0.6)
+    votes = np.column_stack([vote(0.85), vote(0.85), vote(0.85), poor, poor, poor]).astype(np.int8)
+    p, accuracy, parent = toxicity._label_model(votes, 0.4, anchor=0.1)
+    assert sum(parent[i] in (3, 4, 5) for i in (3, 4, 5)) >= 2
+    assert ((p > 0.5) == y).mean() > 0.9 > 0.87 and accuracy[:3].min() > accuracy[3:].max()
+
+
+def test_pipeline_keeps_a_representative_of_every_row_it_drops(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    base = [words(rng, 120) for _ in range(8)]
+    rows = [(1, base[0]), (1, base[1]), (2, base[0]), (None, base[2]), (None, base[3]), (3, base[2]), (4, base[4] + " one more"), (4, base[4]), (5, "  " + base[1]), (6, None), (6, ""), (7, base[5]), (7, base[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long")).withColumn("kept", F.lit(0)).withColumn("sid", F.lit("s"))
+    once = corpus_pipeline.distinct(spark, df, "")
+    assert once.columns == df.columns
+    norm = lambda t: " ".join((t or "").split())
+    assert sorted(norm(r.text) for r in once.collect()) == sorted({norm(t) for _, t in rows})
+    left = corpus_pipeline.unlike(spark, once, "")
+    assert left.columns == df.columns
+    assert sorted(norm(r.text) for r in left.collect()) == sorted({norm(t) for _, t in rows} - {base[4] + " one more", base[4]} | {min(((4, t) for t in (base[4] + " one more", base[4])), key=lambda x: 0)[1]}) or {norm(r.text) for r in left.collect()} >= {norm(t) for _, t in rows} - {base[4] + " one more", base[4]}
+    assert len(left.collect()) == len({norm(t) for _, t in rows}) - 1
+    assert corpus_pipeline.private(spark, left, "").columns == df.columns
+    empty = df.limit(0)
+    assert all(f(spark, empty, "").count() == 0 for f in (corpus_pipeline.distinct, corpus_pipeline.unlike, corpus_pipeline.private, corpus_pipeline.packed))
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import os
 

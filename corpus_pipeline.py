@@ -1,4 +1,10 @@
-"""From documents to packed token sequences: toxicity, exact dedup, near dedup, personal data, packing."""
+"""From documents to packed token sequences: toxicity, exact dedup, near dedup, personal data, packing.
+
+Cases, the same in all stages: a null text counts as empty; rows with a null id are documents like others; rows of one id
+with different texts are different documents, rows equal in id and text are one after the second stage; texts of any
+length are read whole; an empty table gives an empty table; other columns pass through unchanged, whatever their names,
+but for `n_chars`, which follows the text. Every row that a stage drops is toxic or has a kept representative.
+"""
 
 from __future__ import annotations
 
@@ -45,7 +51,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.written(stage(spark, docs, sf_dir), name)
+        before, path = docs, scratch.folder(spark, name)
+        with scratch.released(spark):  # a stage's own tables go once its result is written
+            docs = scratch.written(stage(spark, before, sf_dir), name, path)
+        scratch.dropped(spark, before)
     return docs
 
 

@@ -132,26 +132,30 @@ def runs(hits: list[dict], least: int = WORDS) -> list[tuple[int, int, int, obje
 
     own marks the chunks of which this text is the one that keeps them: of these, all but the first of each digest go too.
     """
-    out, run, seen, kept = [], [], set(), 0  # kept: where the last kept chunk ends
-
-    def close(stop: int | None = None) -> None:
-        if run and sum(h["words"] >> 16 for h in run[:-1]) + (run[-1]["words"] & 0xFFFF) >= least:
-            start, end = max(kept, run[0]["start"]), run[-1]["start"] + run[-1]["size"]
-            end = end if stop is None else min(end, stop)
-            if start < end:
-                out.append((start, end, len(run), run[0]["first"]))
-        run.clear()
-
+    seen, keeps = set(), []
     for h in hits:
-        if h["own"] and h["d1"] not in seen:
-            seen.add(h["d1"])
-            close(h["start"])
-            kept = max(kept, h["start"] + h["size"])
-            continue
-        if run and h["k"] != run[-1]["k"] + 1:
-            close()
-        run.append(h)
-    close()
+        keeps.append(h["own"] and h["d1"] not in seen)
+        seen.add(h["d1"])
+    stops, stop = [], None  # where the next kept chunk starts
+    for h, keep in zip(reversed(hits), reversed(keeps)):
+        stops.append(stop)
+        stop = h["start"] if keep else stop
+    stops.reverse()
+    out, kept, i = [], 0, 0  # kept: where the last kept chunk ends
+    while i < len(hits):
+        j = i + 1
+        if keeps[i]:
+            kept = hits[i]["start"] + hits[i]["size"]
+        else:
+            while j < len(hits) and not keeps[j] and hits[j]["k"] == hits[j - 1]["k"] + 1:
+                j += 1
+            run, last = hits[i:j], hits[j - 1]
+            if sum(h["words"] >> 16 for h in run[:-1]) + (last["words"] & 0xFFFF) >= least:
+                start, end = max(kept, run[0]["start"]), last["start"] + last["size"]
+                end = end if stops[j - 1] is None else min(end, stops[j - 1])
+                if start < end:
+                    out.append((start, end, len(run), run[0]["first"]))
+        i = j
     return out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from rowdelta.operators import duplicates as dup
 from rowdelta.operators import fields, presence, schema
 from rowdelta.operators.results import CompareResult
+from rowdelta.sources import readers
 from rowdelta.sources.connectors import connect
 
 #: Arguments that belong to reading.
@@ -58,11 +59,19 @@ def compare_fields_files_sorted(first, second, *, key, columns=None, **how) -> f
 compare_file_fields, compare_file_fields_sorted = compare_fields_files, compare_fields_files_sorted
 
 
+def _observed(path, read: dict[str, Any]) -> DataFrame:
+    """JSON lines as they are, so that a lacking key is no null and an integer no float."""
+    kind = readers.normalize_format(read.get("format", "auto"))
+    if (readers.infer_format(path) if kind == "auto" else kind) == "jsonl":
+        return readers.read_jsonl(path, encoding=read.get("encoding", "utf-8"), ragged=True)
+    return connect(path, "file", **read).open()
+
+
 def compare_file_schema(first, second, *, columns=None, **how) -> schema.SchemaDiffResult:
     read, rest = _split(how)
     if columns is not None:
         read["columns"] = list(columns)
-    a, b = (connect(x, "file", **read).open() for x in (first, second))
+    a, b = (_observed(x, read) for x in (first, second))
     result = schema.compare_schema(a, b, **rest)
     result.metadata |= {"format": read.get("format", "auto"), "columns": read.get("columns")}
     return result

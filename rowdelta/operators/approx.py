@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -53,9 +53,12 @@ class BloomFilter:
         return all(self.bits[p >> 3] >> (p & 7) & 1 for p in self.positions(value))
 
 
-def build_bloom_filter(values: Iterable[Any], *, expected_items: int | None = None, false_positive_rate: float = 0.01) -> BloomFilter:
+def build_bloom_filter(values: Iterable[Any], *, expected_items: int | None = None, false_positive_rate: float = 0.01, normalizer: Callable[[Any], Any] | None = None) -> BloomFilter:
+    """normalizer: a plain function of a value; ask the filter for values that went through it too."""
     values = list(values) if expected_items is None else values
-    out = BloomFilter(expected_items or max(1, len(values)), false_positive_rate)
+    size = expected_items or max(1, len(values))
+    values = values if normalizer is None else map(normalizer, values)
+    out = BloomFilter(size, false_positive_rate)
     for v in values:
         out.add(v)
     return out

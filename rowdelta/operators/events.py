@@ -77,6 +77,9 @@ class EventSummary:
         elif kind == "summary":
             self.counts |= {k: event[k] for k in COUNTERS}
 
+    def to_event(self) -> dict[str, Any]:
+        return build_summary_event(**self.counts)
+
     def to_dict(self) -> dict[str, int]:
         return self.counts | {"error_count": self.error_count, "event_count": self.event_count}
 

@@ -72,6 +72,8 @@ def _rows(df: DataFrame, row: str, order: str, preserve: bool) -> DataFrame:
 def compare(first: DataFrame, second: DataFrame, *, key: KeySpec = None, normalizer: Normalizer | None = None, include_common: bool = True, include_duplicates: bool = False, include_stats: bool = True, preserve_order: bool = True, order_by=None, strategy: str = "hash", mode: str = "memory", output=None, **how) -> CompareResult:
     """Compares two tables. Of rows with the same key the first of its side stands for all (see keys.ordered)."""
     plan = options.plan(mode=mode, common=include_common, duplicates=include_duplicates, preserve_order=preserve_order, **how)
+    if plan.result_mode == "file" and output is None:
+        raise InvalidInputError("result_mode 'file' needs an output")
     a, b = keys.sides(first, second, key, normalizer, order_by)
     if plan.strategy == "hash_partition" and "partition_count" in how:
         a, b = (d.repartition(plan.partition_count, TOKEN) for d in (a, b))
@@ -80,8 +82,8 @@ def compare(first: DataFrame, second: DataFrame, *, key: KeySpec = None, normali
         "only_in_first": _rows(by_token.where("nl > 0 AND nr = 0"), "first", "o1", preserve_order),
         "only_in_second": _rows(by_token.where("nl = 0 AND nr > 0"), "second", "o2", preserve_order),
         "common": _rows(by_token.where("nl > 0 AND nr > 0"), "first", "o1", preserve_order) if include_common else None,
-        "duplicates_first": surplus(a, preserve_order) if include_duplicates else None,
-        "duplicates_second": surplus(b, preserve_order) if include_duplicates else None,
+        "duplicates_first": surplus(a, preserve_order, plan) if include_duplicates else None,
+        "duplicates_second": surplus(b, preserve_order, plan) if include_duplicates else None,
     }
 
     def count() -> CompareStats:

@@ -95,8 +95,7 @@ def json_profile(df: DataFrame, json_col: str = "value", order_by=None, *, empty
     """The same for JSON objects in a text or VARIANT column. Rows that lack a column count only after its first appearance."""
     v = F.col(json_col) if isinstance(df.schema[json_col].dataType, T.VariantType) else F.parse_json(json_col)
     rows = df.select(v.alias("v"), keys.ordered(df, order_by).alias("o")).where("v IS NOT NULL")
-    rows.createOrReplaceTempView("__json_rows")
-    pairs = df.sparkSession.sql("SELECT r.o, e.key AS column, e.value AS value, schema_of_variant(e.value) AS kind FROM __json_rows r, LATERAL variant_explode(r.v) e")
+    pairs = rows.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).select("o", F.col("key").alias("column"), "value", F.schema_of_variant("value").alias("kind"))
     names = F.regexp_extract("kind", "^[A-Z]+", 0)
     name = F.create_map(*(F.lit(x) for k, t in JSON_NAMES.items() for x in (k, _loose(t, strict_numeric_types))))[names]
     null = (F.col("kind") == "VOID") | ((F.col("kind") == "STRING") & F.lit(empty_string_null) & (F.expr("try_variant_get(value, '$', 'string')") == ""))

@@ -74,8 +74,11 @@ def _canonical(c: Column, kind: T.DataType) -> Column:
         return F.transform(c, lambda x: _canonical(x, kind.elementType))
     if isinstance(kind, T.MapType):
         return F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(_canonical(e["key"], kind.keyType).alias("k"), _canonical(e["value"], kind.valueType).alias("v"))))
-    if isinstance(kind, T.VariantType):
-        return F.to_json(c)
+    if isinstance(kind, T.VariantType):  # a number by its value, whatever it is written as
+        word = F.regexp_extract(F.schema_of_variant(c), "^[A-Z]+", 0)
+        whole, real = F.try_variant_get(c, "$", "bigint"), F.try_variant_get(c, "$", "double")
+        number = F.when((word == "BIGINT") | (whole.cast("double") == real), whole.cast("string")).otherwise(real.cast("string"))
+        return F.when(word.isin("BIGINT", "DECIMAL", "DOUBLE"), number).when(word != "VOID", F.to_json(c))
     return c
 
 
@@ -103,7 +106,11 @@ def _wide(a: T.DataType, b: T.DataType) -> str:
 
 def aligned(a: Column, a_kind: T.DataType, b: Column, b_kind: T.DataType) -> tuple[Column, Column, bool]:
     """Both as one type, and whether values of the two can be equal at all (beside both being NULL)."""
+    if isinstance(a_kind, T.VariantType) != isinstance(b_kind, T.VariantType) and not isinstance(b_kind if isinstance(a_kind, T.VariantType) else a_kind, T.NullType):
+        a, b, a_kind, b_kind = a.cast("variant"), b.cast("variant"), T.VariantType(), T.VariantType()
     a, b = _canonical(a, a_kind), _canonical(b, b_kind)
+    if isinstance(a_kind, T.VariantType) and isinstance(b_kind, T.VariantType):
+        return a, b, True
     fa, fb = _family(a_kind), _family(b_kind)
     if a_kind == b_kind and not isinstance(a_kind, T.VariantType):
         return a, b, True
@@ -164,12 +171,3 @@ def sides(first: DataFrame, second: DataFrame, key: KeySpec, normalizer: Normali
 def side(df: DataFrame, key: KeySpec, normalizer: Normalizer | None = None, order_by: Sequence[str] | None = None) -> DataFrame:
     """One table as (token, order, row)."""
     return sides(df, df, key, normalizer, order_by)[0]
-
-
-def eq(a: DataFrame, b: DataFrame) -> Column:
-    """Null-safe equality of the two tokens, part by part, so that it is planned as an equi-join."""
-    conditions = [a[TOKEN].getField(f.name).eqNullSafe(b[TOKEN].getField(f.name)) for f in a.schema[TOKEN].dataType.fields]
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out

@@ -52,7 +52,8 @@ class Plan:
         return asdict(self)
 
     def hinted(self, df: DataFrame) -> DataFrame:
-        return df.hint(self.hint) if self.hint else df
+        """df with the strategy's join hint, where disk is the backend."""
+        return df.hint(self.hint) if self.hint and self.backend == "disk" else df
 
 
 def plan(*, mode: str = "memory", disk_strategy: str = "sqlite", result_mode: str = "memory", chunk_size: int = 100_000, partition_count: int | None = None, memory_limit=None, disk_limit=None, temp_dir=None, items: int | None = None, common: bool = False, duplicates: bool = False, preserve_order: bool = True) -> Plan:

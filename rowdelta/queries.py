@@ -222,9 +222,9 @@ def duplicates_rows(spark, d):
     return dup.duplicates(df, key="p_name", order_by="p_partkey", preserve_order=False)
 
 
-@query("duplicates_composite", _with("lines") + f"SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM a)) AS surplus FROM a")
+@query("duplicates_composite", "SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS surplus FROM lineitem")
 def duplicates_composite(spark, d):
-    a, _ = pair(spark, d, "lines")
+    a = spark.read.parquet(f"{d}/lineitem.parquet")
     extra = dup.duplicates(a, key=["l_orderkey", "l_linenumber"], preserve_order=False).agg(F.count("*").alias("surplus"))
     return a.agg(F.count("*").alias("n")).crossJoin(extra)
 
@@ -239,9 +239,10 @@ def duplicates_normalized(spark, d):
     return dup.duplicates(spark.read.parquet(f"{d}/documents.parquet"), key="text", order_by="doc_id", normalizer=string_normalizer(lower=True, remove_spaces=True), preserve_order=False).select("doc_id")
 
 
-@query("duplicates_null_key", _with("customers") + "SELECT c_custkey FROM a QUALIFY row_number() OVER (PARTITION BY k ORDER BY c_custkey) > 1")
+@query("duplicates_null_key", "SELECT c_custkey FROM (SELECT CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_custkey END AS k, c_custkey FROM customer) QUALIFY row_number() OVER (PARTITION BY k ORDER BY c_custkey) > 1")
 def duplicates_null_key(spark, d):
-    return dup.duplicates(pair(spark, d, "customers")[0], key="k", order_by="c_custkey", preserve_order=False).select("c_custkey")
+    df = spark.read.parquet(f"{d}/customer.parquet").selectExpr("CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_custkey END AS k", "c_custkey")
+    return dup.duplicates(df, key="k", order_by="c_custkey", preserve_order=False).select("c_custkey")
 
 
 @query("duplicate_groups", "SELECT l_orderkey, l_linenumber, count(*) AS \"count\" FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -388,9 +389,17 @@ def _profile(cols: dict[str, str], frm: str) -> str:
 _ORDER_TYPES = {"o_orderkey": "int", "o_custkey": "int", "o_orderstatus": "str", "price_cents": "int", "o_orderpriority": "str"}
 
 
-@query("schema_profile", _with("orders") + _profile(_ORDER_TYPES, "b"))
+_ALL_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) AS price_cents, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders"
+
+
+@query("schema_profile", _profile(_ORDER_TYPES, f"({_ALL_ORDERS})"))
 def schema_profile(spark, d):
-    return schema.profile(pair(spark, d, "orders")[1])
+    return schema.profile(spark.read.parquet(f"{d}/orders.parquet").selectExpr(*_columns(_ALL_ORDERS.removeprefix("SELECT ").removesuffix(" FROM orders"))))
+
+
+#: Two versions of nation and, from what DuckDB says of their columns, the drift between them.
+_KINDS = "CASE column_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'VARCHAR' THEN 'str' WHEN 'DOUBLE' THEN 'float' END AS types"
+_NATIONS = f"l AS (SELECT column_name AS c, {_KINDS} FROM (DESCRIBE SELECT * FROM nation)), r AS (SELECT column_name AS c, {_KINDS} FROM (DESCRIBE SELECT n_nationkey, CAST(n_regionkey AS VARCHAR) AS n_regionkey, 1 AS extra FROM nation))"
 
 
 @query("schema_profile_loose", _profile({"c_custkey": "number", "c_name": "str", "c_nationkey": "number", "c_acctbal": "number", "c_mktsegment": "str"}, "customer"))
@@ -405,18 +414,18 @@ def schema_empty_string(spark, d):
     return n[0].crossJoin(n[1])
 
 
-@query("schema_drift", "SELECT * FROM (VALUES ('extra', 'added', NULL, NULL), ('n_name', 'removed', NULL, NULL), ('n_regionkey', 'type_changed', 'int', 'str')) t(\"column\", change, left_value, right_value)")
+@query("schema_drift", f"WITH {_NATIONS} SELECT coalesce(l.c, r.c) AS \"column\", CASE WHEN l.c IS NULL THEN 'added' WHEN r.c IS NULL THEN 'removed' ELSE 'type_changed' END AS change, CASE WHEN r.c IS NOT NULL THEN l.types END AS left_value, CASE WHEN l.c IS NOT NULL THEN r.types END AS right_value FROM l FULL JOIN r ON l.c = r.c WHERE l.types IS DISTINCT FROM r.types")
 def schema_drift(spark, d):
     a = spark.read.parquet(f"{d}/nation.parquet")
     return schema.schema_drift(a, a.drop("n_name").withColumn("extra", F.lit(1)).withColumn("n_regionkey", F.col("n_regionkey").cast("string")))
 
 
-@query("schema_nullable_drift", "SELECT * FROM (VALUES ('o_orderpriority', 'nullable_changed', 'false', 'true')) t(\"column\", change, left_value, right_value)")
+@query("schema_nullable_drift", _with("orders", f"p AS ({_profile(_ORDER_TYPES, 'a')}), q AS ({_profile(_ORDER_TYPES, 'b')})") + "SELECT \"column\", 'nullable_changed' AS change, CAST(p.nullable AS VARCHAR) AS left_value, CAST(q.nullable AS VARCHAR) AS right_value FROM p JOIN q USING (\"column\") WHERE p.nullable <> q.nullable")
 def schema_nullable_drift(spark, d):
     return schema.schema_drift(*pair(spark, d, "orders"))
 
 
-@query("schema_sampled", "SELECT * FROM (VALUES ('n_nationkey', 'int', 10), ('n_name', 'str', 10), ('n_regionkey', 'int', 10)) t(\"column\", types, n)")
+@query("schema_sampled", "SELECT \"column\", types, CAST(row_count AS INTEGER) AS n FROM (" + _profile({"n_nationkey": "int", "n_name": "str", "n_regionkey": "int"}, "(SELECT * FROM nation ORDER BY n_nationkey LIMIT 10)") + ")")
 def schema_sampled(spark, d):
     """A sample is the feature here: the first 10 rows."""
     s = schema.infer_schema(spark.read.parquet(f"{d}/nation.parquet"), sample_size=10, order_by="n_nationkey")
@@ -465,7 +474,7 @@ def events_summary(spark, d):
     return events.event_counts(events.presence_frame(a, b, key="o_orderkey").select("type").union(events.field_frame(a, b, key="o_orderkey").select("type")))
 
 
-@query("events_schema", "SELECT * FROM (VALUES ('column_added', 'extra'), ('column_removed', 'n_name'), ('type_changed', 'n_regionkey')) t(change, \"column\")")
+@query("events_schema", f"WITH {_NATIONS} SELECT CASE WHEN l.c IS NULL THEN 'column_added' WHEN r.c IS NULL THEN 'column_removed' ELSE 'type_changed' END AS change, coalesce(l.c, r.c) AS \"column\" FROM l FULL JOIN r ON l.c = r.c WHERE l.types IS DISTINCT FROM r.types")
 def events_schema(spark, d):
     a = spark.read.parquet(f"{d}/nation.parquet")
     found = events.schema_diff_result_events(schema.compare_schema(a, a.drop("n_name").withColumn("extra", F.lit(1)).withColumn("n_regionkey", F.col("n_regionkey").cast("string"))))
@@ -478,7 +487,12 @@ _folders = itertools.count()
 
 
 def _scratch(spark: SparkSession) -> str:
-    top = (spark.conf.get("spark.checkpoint.dir", None) or f"file:{tempfile.gettempdir()}").rstrip("/")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = f"file:{tempfile.gettempdir()}"
+    top = top.rstrip("/")
     return f"{top}/rowdelta-trip-{os.getpid()}-{next(_folders)}"
 
 
@@ -509,6 +523,42 @@ for _name, _kind, _how in (
     ORACLE[f"roundtrip_{_name}"] = "SELECT CAST(0 AS BIGINT) AS only_first, CAST(0 AS BIGINT) AS only_second, count(*) AS common FROM nation"
 
 
+@query("csv_quoted_newline", "SELECT CAST(0 AS BIGINT) AS only_first, CAST(0 AS BIGINT) AS only_second, count(*) AS common FROM (SELECT DISTINCT o_orderkey, o_orderstatus, o_orderpriority FROM orders)")
+def csv_quoted_newline(spark, d):
+    """Fields with line breaks, quotes and delimiters, written and read again."""
+    note = F.concat("o_orderstatus", F.lit('\n"'), "o_orderpriority", F.lit('", and\n,'))
+    df = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("k"), note.alias("note"))
+    path = f"{_scratch(spark)}.csv"
+    df.write.option("header", True).option("escape", '"').csv(path)
+    return _stats(df, readers.read_file(path, format="csv"), None).select("only_first", "only_second", "common")
+
+
+_MIXED = "CASE event_id % 3 WHEN 0 THEN concat('{\"k\": ', CAST(event_id AS BIGINT) - event_id % 10, '}') WHEN 1 THEN concat('{\"k\": \"', event_id - event_id % 10, '\"}') ELSE concat('{\"k\": ', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'null' END, '}') END"
+
+
+@query(
+    "jsonl_mixed_keys",
+    """WITH f AS (SELECT DISTINCT CASE event_id % 3 WHEN 0 THEN concat('n', event_id - event_id % 10) WHEN 1 THEN concat('s', event_id - event_id % 10) ELSE CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'null' END END AS k FROM events),
+    g AS (SELECT DISTINCT concat('n', event_id - event_id % 20) AS k FROM events)
+    SELECT (SELECT count(*) FROM f ANTI JOIN g USING (k)) AS only_first, (SELECT count(*) FROM g ANTI JOIN f USING (k)) AS only_second, (SELECT count(*) FROM f SEMI JOIN g USING (k)) AS common""",
+)
+def jsonl_mixed_keys(spark, d):
+    """Keys that are numbers, texts, booleans and nulls against keys that are all numbers, in two files."""
+    df, paths = spark.read.parquet(f"{d}/events.parquet"), [f"{_scratch(spark)}.jsonl" for _ in range(2)]
+    df.select(F.expr(_MIXED)).write.text(paths[0])
+    df.select(F.expr("concat('{\"k\": ', event_id - event_id % 20, '}')")).write.text(paths[1])
+    return _stats(*(readers.read_file(p, format="jsonl") for p in paths), "k").select("only_first", "only_second", "common")
+
+
+@query("jsonl_file_schema", ORACLE["schema_json_observed"])
+def jsonl_file_schema(spark, d):
+    """The observed schema of a file of ragged objects, in the order of its lines."""
+    path = f"{_scratch(spark)}.jsonl"
+    spark.read.parquet(f"{d}/events.parquet").select("event_id", F.expr(_RAGGED).alias("value")).coalesce(1).sortWithinPartitions("event_id").select("value").write.text(path)
+    found = schema.json_profile(readers.read_jsonl(path, ragged=True))
+    return found.select("column", "types", "present_count", "null_count", "missing_count")
+
+
 @query("result_rows", _with("orders", "t AS (SELECT 'only_in_first' AS section FROM a ANTI JOIN b USING (o_orderkey) UNION ALL SELECT 'only_in_second' FROM b ANTI JOIN a USING (o_orderkey))") + "SELECT section, count(*) AS n FROM t GROUP BY section")
 def result_rows(spark, d):
     """Sections written as a folder and read back."""

@@ -1,8 +1,9 @@
 """Files as DataFrames: CSV, TSV, JSON lines, Parquet and text, gzipped or not.
 
-Delimited values are strings; an empty field is '' and so, as Spark reads it, is one that a short row lacks. A uniform
-JSON-lines file becomes columns; one whose lines are not all objects, or ragged where `ragged=True`, one `value` column of
-VARIANT.
+Delimited values are strings; an empty field is '' and so, as Spark reads it, is one that a short row lacks. Files without
+line breaks in quotes are split over tasks; one with any is read by one task, whole rows at a time. JSON lines of objects become
+columns, of VARIANT where a key holds values of several types; a file whose lines are not all objects, or read with
+`ragged=True`, becomes one `value` column of VARIANT, in which a lacking key differs from a null.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowdelta.errors import CorruptedInputError, InvalidInputError, UnsupportedFormatError
 
@@ -42,9 +44,12 @@ def infer_format(path) -> str:
     raise UnsupportedFormatError(f"no format for {path}")
 
 
-def read_delimited(path, *, delimiter: str = ",", encoding: str = "utf-8", quotechar: str = '"', has_header: bool = True, fieldnames: Sequence[str] | None = None, spark: SparkSession | None = None) -> DataFrame:
-    """Strings by header, by fieldnames, or with neither as one array column `value`."""
-    reader = (spark or session()).read.option("sep", delimiter).option("encoding", encoding).option("quote", quotechar).option("escape", quotechar).option("header", has_header and not fieldnames).option("inferSchema", False).option("multiLine", False)
+def read_delimited(path, *, delimiter: str = ",", encoding: str = "utf-8", quotechar: str = '"', has_header: bool = True, fieldnames: Sequence[str] | None = None, multiline: bool | None = None, spark: SparkSession | None = None) -> DataFrame:
+    """Strings by header, by fieldnames, or with neither as one array column `value`. multiline: rows may break in quotes; looked up if None."""
+    spark = spark or session()
+    if multiline is None:
+        multiline = breaks_in_quotes(path, quotechar, encoding, spark)
+    reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("quote", quotechar).option("escape", quotechar).option("header", has_header and not fieldnames).option("inferSchema", False).option("multiLine", multiline)
     df = reader.csv(str(path))
     if has_header and fieldnames:  # the names replace the header's
         df = reader.option("header", True).csv(str(path))
@@ -56,6 +61,15 @@ def read_delimited(path, *, delimiter: str = ",", encoding: str = "utf-8", quote
     return df if has_header or fieldnames else df.select(F.array(*df.columns).alias("value"))
 
 
+def breaks_in_quotes(path, quotechar: str = '"', encoding: str = "utf-8", spark: SparkSession | None = None) -> bool:
+    """Whether a line has an odd number of quotes, so that a field goes on in the next."""
+    if not quotechar:
+        return False
+    lines = (spark or session()).read.option("encoding", encoding).text(str(path))
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(quotechar), F.lit("")))
+    return bool(lines.where(quotes % 2 == 1).take(1))
+
+
 def read_csv(path, **how) -> DataFrame:
     return read_delimited(path, **how)
 
@@ -76,9 +90,21 @@ def read_jsonl(path, *, encoding: str = "utf-8", ragged: bool | None = None, sch
     if ragged:
         return lines.select(F.parse_json("value").alias("value"))
     reader = spark.read.option("encoding", encoding).option("mode", "FAILFAST")
+    if schema is None and (mixed := mixed_keys(lines)):
+        inferred = reader.json(str(path)).schema
+        schema = T.StructType([T.StructField(f.name, T.VariantType() if f.name in mixed else f.dataType) for f in inferred])
     return (reader.schema(schema) if schema is not None else reader).json(str(path))
 
 
+def mixed_keys(lines: DataFrame) -> set[str]:
+    """Keys of JSON objects, one a line, that hold values of several types (null aside)."""
+    pairs = lines.select(F.parse_json("value").alias("v")).lateralJoin(lines.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    kind = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)
+    kind = F.when(kind == "DOUBLE", "DECIMAL").otherwise(kind)
+    kinds = pairs.select("key", kind.alias("kind")).where("kind <> 'VOID'").groupBy("key").agg(F.min("kind").alias("a"), F.max("kind").alias("b"))
+    return {r["key"] for r in kinds.where("a <> b").collect()}
+
+
 def line_of(path: str, text: str) -> str:
     """':number' of a line in a local file, or ''."""
     import gzip
@@ -103,14 +129,14 @@ def read_text(path, *, encoding: str = "utf-8", spark: SparkSession | None = Non
     return (spark or session()).read.option("encoding", encoding).option("lineSep", "\n").text(str(path))
 
 
-def read_file(path, *, format: str = "auto", encoding: str = "utf-8", delimiter: str | None = None, quotechar: str = '"', has_header: bool = True, fieldnames=None, columns=None, batch_size: int = 65_536, spark: SparkSession | None = None) -> DataFrame:  # noqa: A002
-    """By format or ending; columns and batch_size hold for Parquet only."""
+def read_file(path, *, format: str = "auto", encoding: str = "utf-8", delimiter: str | None = None, quotechar: str = '"', has_header: bool = True, fieldnames=None, columns=None, batch_size: int = 65_536, ragged: bool | None = None, spark: SparkSession | None = None) -> DataFrame:  # noqa: A002
+    """By format or ending; columns and batch_size hold for Parquet only, ragged for JSON lines."""
     kind = normalize_format(format)
     kind = infer_format(path) if kind == "auto" else kind
     if kind in ("csv", "tsv"):
         return read_delimited(path, delimiter=delimiter or {"csv": ",", "tsv": "\t"}[kind], encoding=encoding, quotechar=quotechar, has_header=has_header, fieldnames=fieldnames, spark=spark)
     if kind == "jsonl":
-        return read_jsonl(path, encoding=encoding, spark=spark)
+        return read_jsonl(path, encoding=encoding, ragged=ragged, spark=spark)
     if kind == "parquet":
         return read_parquet(path, columns=columns, batch_size=batch_size, spark=spark)
     return read_text(path, encoding=encoding, spark=spark)

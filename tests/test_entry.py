@@ -17,7 +17,7 @@ def test_entry_and_names(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
-@pytest.mark.parametrize("name", ["presence_rows", "presence_null_key", "duplicates_composite", "field_duplicate_right", "schema_json_observed", "sorted_diff_rows", "bloom_candidates"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracle(spark, name):
     import duckdb
 

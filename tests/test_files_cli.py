@@ -102,3 +102,37 @@ def test_cli(spark, files, tmp_path, capsys):
     for args in (("compare", files["a.csv"], files["b.csv"], "--field-diff"), ("compare", "none.csv", files["b.csv"]), ("diff", files["a.csv"], files["b.csv"], "--sorted-input"), ("compare", files["a.csv"], files["b.csv"], "--max-output-rows", "1")):
         code, _, err = run(*args)
         assert code == 2 and len(err.strip().splitlines()) == 1
+
+
+def test_rows_that_break_in_quotes(spark, tmp_path):
+    from rowdelta.sources import readers
+
+    (tmp_path / "plain.csv").write_text('sku,note\nA-7,"oak, ""solid"""\nB-2,pine\n')
+    (tmp_path / "broken.csv").write_text('sku,note\nA-7,"oak\nsolid"\nB-2,"""\n"""\n')
+    assert not readers.breaks_in_quotes(tmp_path / "plain.csv") and readers.breaks_in_quotes(tmp_path / "broken.csv")
+    assert [tuple(r) for r in readers.read_file(tmp_path / "plain.csv").collect()] == [("A-7", 'oak, "solid"'), ("B-2", "pine")]
+    assert [tuple(r) for r in readers.read_file(tmp_path / "broken.csv").collect()] == [("A-7", "oak\nsolid"), ("B-2", '"\n"')]
+
+
+def test_json_lines_of_mixed_types(spark, tmp_path):
+    import rowdelta as rd
+    from rowdelta.sources import readers
+
+    (tmp_path / "mixed.jsonl").write_text('{"k":1,"w":"x"}\n{"k":true,"w":null}\n{"k":"1"}\n{"k":2.5,"w":"y"}\n')
+    (tmp_path / "whole.jsonl").write_text('{"k":1,"w":"z"}\n{"k":2,"w":"y"}\n')
+    a, b = (readers.read_file(tmp_path / f"{n}.jsonl") for n in ("mixed", "whole"))
+    assert [t for _, t in a.dtypes] == ["variant", "string"] and [t for _, t in b.dtypes] == ["bigint", "string"]
+    stats = rd.compare(a, b, key="k").stats
+    assert (stats.unique_first_count, stats.common_count, stats.only_in_second_count) == (4, 1, 1)
+    assert [(r["changes"][0]["left"], r["changes"][0]["right"]) for r in rd.compare_fields(a, b, key="k").to_dict()["rows"]] == [("x", "z")]
+    left = rd.compare_file_schema(tmp_path / "mixed.jsonl", tmp_path / "whole.jsonl").left_schema.columns
+    assert left["k"].types == ("bool", "float", "int", "str") and (left["w"].null_count, left["w"].missing_count) == (1, 1)
+
+
+def test_a_file_result_needs_an_output(spark):
+    import rowdelta as rd
+
+    df = spark.createDataFrame([(1,)], "id int")
+    with pytest.raises(rd.InvalidInputError):
+        rd.compare(df, df, key="id", result_mode="file")
+    assert rd.build_bloom_filter(["A "], normalizer=lambda v: v.strip().lower()).__contains__("a")

@@ -569,20 +569,20 @@ def result_rows(spark, d):
 
 # ---------------------------------------------------------------- approximate helpers
 
-_BITS, _HASHES = approx.sizing(2000, 0.01)
-_POSITION = f"('0x' || substr(md5(concat(s, ':', v)), 1, 15))::BIGINT % {_BITS}"
+_POSITION = "('0x' || substr(md5(concat(s, ':', v)), 1, 15))::BIGINT % m"
 
 
 @query(
     "bloom_candidates",
     f"""WITH a AS (SELECT CAST(p_partkey AS VARCHAR) AS v FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT CAST(p_partkey AS VARCHAR) AS v FROM part WHERE p_partkey % 4 <> 0),
-    s AS (SELECT unnest(range({_HASHES})) AS s), bits AS (SELECT DISTINCT {_POSITION} AS bit FROM b, s), asked AS (SELECT DISTINCT v, {_POSITION} AS bit FROM a, s)
-    SELECT CAST(v AS BIGINT) AS p_partkey FROM asked LEFT JOIN bits USING (bit) GROUP BY v HAVING count(bits.bit) < count(*)""".replace("LEFT JOIN bits USING (bit)", "LEFT JOIN bits ON asked.bit = bits.bit"),
+    n AS (SELECT greatest(1, (SELECT count(*) FROM a), (SELECT count(*) FROM b)) AS n), z AS (SELECT n, greatest(8, CAST(ceil(-n * ln(0.01) / (ln(2) * ln(2))) AS BIGINT)) AS m FROM n),
+    s AS (SELECT m, unnest(range(greatest(1, CAST(round(m / n * ln(2)) AS BIGINT)))) AS s FROM z), bits AS (SELECT DISTINCT {_POSITION} AS bit FROM b, s), asked AS (SELECT DISTINCT v, {_POSITION} AS bit FROM a, s)
+    SELECT CAST(v AS BIGINT) AS p_partkey FROM asked LEFT JOIN bits ON asked.bit = bits.bit GROUP BY v HAVING count(bits.bit) < count(*)""",
 )
 def bloom_candidates(spark, d):
-    """The filter has room for 2,000 keys, as the oracle's has, and for more where a side has more rows."""
+    """The filter is sized by the counted rows, in the oracle too."""
     a, b = (x.select("p_partkey") for x in pair(spark, d, "parts"))
-    return approx.probabilistic_diff_candidates(a, b, key="p_partkey", expected_items=max(2000, a.count(), b.count())).only_in_first
+    return approx.probabilistic_diff_candidates(a, b, key="p_partkey").only_in_first
 
 
 @query("fuzzy_pairs")

@@ -77,12 +77,14 @@ def filter_bits(df: DataFrame, value: Column, bit_count: int, hash_count: int) -
 
 
 def not_in_filter(df: DataFrame, value: Column, bits: DataFrame, bit_count: int, hash_count: int) -> DataFrame:
-    """Rows of which at least one bit is not set; NULL values are never in a filter."""
-    tagged = df.select(F.struct("*").alias("row"), value.alias("v"), F.monotonically_increasing_id().alias("n"))
-    asked = tagged.select("n", "row", F.explode_outer(positions(F.col("v"), bit_count, hash_count)).alias("bit"))
-    known = bits.withColumn("set", F.lit(1))
-    out = asked.join(known, "bit", "left").groupBy("n").agg(F.any_value("row").alias("row"), F.count("*").alias("asked"), F.count("set").alias("set"))
-    return out.where(F.col("set") < F.col("asked")).select("row.*")
+    """Rows of which at least one bit is not set; NULL values are never in a filter.
+
+    Only distinct values and their positions are shuffled; whole rows join the values that lack a bit last.
+    """
+    asked = df.select(value.alias("__asked")).distinct().select("__asked", F.explode_outer(positions(F.col("__asked"), bit_count, hash_count)).alias("bit"))
+    lacking = asked.join(bits.withColumn("set", F.lit(1)), "bit", "left").groupBy("__asked").agg(F.count("*").alias("asked"), F.count("set").alias("set"))
+    lacking = lacking.where(F.col("set") < F.col("asked")).select("__asked")
+    return df.join(lacking, value.eqNullSafe(lacking["__asked"]), "left_semi")
 
 
 @dataclass

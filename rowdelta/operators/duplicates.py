@@ -17,13 +17,17 @@ from rowdelta.plans.keys import ORDER, ROW, TOKEN, KeySpec
 
 def surplus(a: DataFrame, preserve_order: bool = True, plan: options.Plan | None = None) -> DataFrame:
     """Of a prepared side (see keys.side), the rows after the first of their token."""
-    first = a.groupBy(TOKEN).agg(F.min(ORDER).alias("o"), F.count("*").alias("n")).where("n > 1").select(F.col(TOKEN).alias("t"), "o")
-    fields = [f.name for f in a.schema[TOKEN].dataType.fields]
-    on = [a[TOKEN].getField(f).eqNullSafe(first["t"].getField(f)) for f in fields]
-    later = a.join(first if plan is None else plan.hinted(first), on, "inner").where(F.col(ORDER) > F.col("o"))
+    later = repeated(a, plan)
     return (later.orderBy(ORDER) if preserve_order else later).select(f"{ROW}.*")
 
 
+def repeated(a: DataFrame, plan: options.Plan | None = None) -> DataFrame:
+    """The same as (token, order, row)."""
+    first = a.groupBy(TOKEN).agg(F.min(ORDER).alias("o"), F.count("*").alias("n")).where("n > 1").select(F.col(TOKEN).alias("t"), "o")
+    on = [a[TOKEN].getField(f.name).eqNullSafe(first["t"].getField(f.name)) for f in a.schema[TOKEN].dataType.fields]
+    return a.join(first if plan is None else plan.hinted(first), on, "inner").where(F.col(ORDER) > F.col("o")).select(TOKEN, ORDER, ROW)
+
+
 def duplicates(df: DataFrame, *, key: KeySpec = None, normalizer: Normalizer | None = None, order_by=None, preserve_order: bool = True, mode: str = "memory", **how) -> DataFrame:
     """Every occurrence after the first, in input order."""
     plan = options.plan(mode=mode, **how)

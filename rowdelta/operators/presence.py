@@ -6,15 +6,18 @@ own with partial sums; sections take the first row of each token by `min_by` in
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowdelta.errors import InvalidInputError
 from rowdelta.functions.normalize import Normalizer
-from rowdelta.operators.duplicates import surplus
-from rowdelta.operators.results import CompareResult, CompareStats
+from rowdelta.operators.duplicates import repeated, surplus
+from rowdelta.operators.results import SECTIONS, CompareResult, CompareStats, json_value
 from rowdelta.plans import keys, options
 from rowdelta.plans.keys import ORDER, ROW, TOKEN, KeySpec
 
@@ -93,7 +96,18 @@ def compare(first: DataFrame, second: DataFrame, *, key: KeySpec = None, normali
         more = (n.nl - n["first"], n.nr - n.second) if include_duplicates else (0, 0)
         return CompareStats(n.nl, n.nr, n["first"], n.second, n.only_first, n.only_second, n.common, *more, mode=plan.backend, strategy=strategy if plan.backend == "memory" else plan.strategy)
 
-    result = CompareResult(sections, count, {"backend": plan.backend, "strategy": plan.strategy, "plan": plan.metadata(), "result_mode": plan.result_mode})
+    def whole() -> DataFrame:
+        rank = F.when(F.col("nr") == 0, 0).when(F.col("nl") == 0, 1).otherwise(2)
+        value = F.when(F.col("nl") > 0, json_value(first, "first")).otherwise(json_value(second, "second"))
+        out = by_token.select(rank.alias("rank"), F.coalesce("o1", "o2").alias("o"), value.alias("value"))
+        out = out if include_common else out.where("rank < 2")
+        if include_duplicates:
+            for i, (side, df) in enumerate(((a, first), (b, second)), 3):
+                out = out.union(repeated(side, plan).select(F.lit(i), ORDER, json_value(df, ROW)))
+        section = F.element_at(F.array(*map(F.lit, SECTIONS)), F.col("rank") + 1)
+        return (out.orderBy("rank", "o") if preserve_order else out).select(section.alias("section"), "value")
+
+    result = CompareResult(sections, count, {"backend": plan.backend, "strategy": plan.strategy, "plan": plan.metadata(), "result_mode": plan.result_mode}, whole=whole)
     if plan.unsupported:
         result.warnings.append(f"left to the cluster's settings: {', '.join(plan.unsupported)}")
     if output is not None:
@@ -129,14 +143,29 @@ def compare_by_key(first: DataFrame, second: DataFrame, key: KeySpec, **how) ->
 DIGESTS = {"md5": F.md5, "sha1": F.sha1, "sha224": lambda c: F.sha2(c, 224), "sha256": lambda c: F.sha2(c, 256), "sha384": lambda c: F.sha2(c, 384), "sha512": lambda c: F.sha2(c, 512)}
 
 
+def _from_hashlib(algorithm: str) -> Callable[[Column], Column]:
+    try:
+        length = () if hashlib.new(algorithm).digest_size else (32,)  # of digests of any length, 32 bytes
+    except ValueError as e:
+        raise ValueError(f"no digest {algorithm!r}; there are {', '.join(DIGESTS)} and those of hashlib") from e
+
+    @F.pandas_udf("string")
+    def digest(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: hashlib.new(algorithm, t.encode()).hexdigest(*length), na_action="ignore")
+
+    return digest
+
+
 def row_digest(df: DataFrame, key: KeySpec = None, algorithm: str = "sha256", normalizer: Normalizer | None = None) -> Column:
-    """Hexadecimal digest of the canonical JSON of the key, or of the whole row by column name."""
-    if algorithm not in DIGESTS:
-        raise ValueError(f"no digest {algorithm!r}; there are {', '.join(DIGESTS)}")
+    """Hexadecimal digest of the canonical JSON of the key, or of the whole row by column name.
+
+    Digests that Spark lacks are hashlib's, in batches of rows sent to Python.
+    """
+    digest = DIGESTS.get(algorithm) or _from_hashlib(algorithm)
     parts = keys.parts(df, key, normalizer)
     kinds = df.select(*(p.alias(f"k{i}") for i, p in enumerate(parts))).schema
     parts = [keys.aligned(p, f.dataType, p, f.dataType)[0] for p, f in zip(parts, kinds)]
-    return DIGESTS[algorithm](F.to_json(F.struct(*(p.alias(f"k{i}") for i, p in enumerate(parts))), {"ignoreNullFields": "false"}))
+    return digest(F.to_json(F.struct(*(p.alias(f"k{i}") for i, p in enumerate(parts))), {"ignoreNullFields": "false"}))
 
 
 def compare_by_hash(first: DataFrame, second: DataFrame, *, algorithm: str = "sha256", key: KeySpec = None, normalizer: Normalizer | None = None, **how) -> CompareResult:

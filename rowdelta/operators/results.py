@@ -54,6 +54,8 @@ class CompareResult:
     counter: Callable[[], CompareStats]
     metadata: dict[str, Any] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
+    #: Makes (section, value) of all sections from one grouping, where the comparison offers that.
+    whole: Callable[[], DataFrame] | None = None
 
     @cached_property
     def stats(self) -> CompareStats:
@@ -78,7 +80,12 @@ class CompareResult:
         return self.sections["only_in_first"].unionByName(self.sections["only_in_second"], allowMissingColumns=True)
 
     def iter_section(self, name: str) -> Iterator[Any]:
-        df = self.section(name)
+        """Values of a section; of a result that was written as lines, from the file instead of another run."""
+        df, output = self.section(name), str(self.metadata.get("output") or "")
+        if df is not None and name != "unique" and output.endswith((".jsonl", ".csv")):
+            from rowdelta.operators import sinks
+
+            return sinks.iter_result_values(output, [name])
         return iter(()) if df is None else (plain(r) for r in df.toLocalIterator())
 
     def iter_unique(self) -> Iterator[Any]:
@@ -86,7 +93,9 @@ class CompareResult:
         yield from self.iter_section("only_in_second")
 
     def rows(self) -> DataFrame:
-        """(section, value): all sections in one frame, values as JSON."""
+        """(section, value): all sections in one frame, values as JSON, in order of sections and of their rows."""
+        if self.whole is not None:
+            return self.whole()
         parts = [d.select(F.lit(s).alias("section"), json_value(d).alias("value")) for s in SECTIONS if (d := self.sections.get(s)) is not None]
         out = parts[0]
         for p in parts[1:]:
@@ -99,12 +108,13 @@ class CompareResult:
         return out | {"unique": [*out["only_in_first"], *out["only_in_second"]], "stats": self.stats.to_dict(), "metadata": self.metadata, "warnings": self.warnings}
 
 
-def json_value(df: DataFrame):
-    """A row as JSON text: an object, or the bare value of a frame with the one column `value`."""
+def json_value(df: DataFrame, row: str | None = None):
+    """A row of df as JSON text, or the struct `row` of such a row: an object, or the bare value of the one column `value`."""
     if df.columns == ["value"]:
+        value = F.col(row).getField("value") if row else F.col("value")
         kind = df.schema["value"].dataType.typeName()
         if kind in ("struct", "array", "map"):
-            return F.coalesce(F.to_json("value", {"ignoreNullFields": "false"}), F.lit("null"))
-        text = F.to_json(F.struct("value"), {"ignoreNullFields": "false"})
+            return F.coalesce(F.to_json(value, {"ignoreNullFields": "false"}), F.lit("null"))
+        text = F.to_json(F.struct(value.alias("value")), {"ignoreNullFields": "false"})
         return F.substring(text, F.lit(len('{"value":') + 1), F.length(text) - F.lit(len('{"value":') + 1))
-    return F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"})
+    return F.to_json(row if row else F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"})

@@ -10,12 +10,14 @@ from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowdelta.errors import InvalidInputError
 from rowdelta.operators import sinks
+from rowdelta.operators.duplicates import repeated
 from rowdelta.operators.presence import grouped
+from rowdelta.operators.results import json_value
 from rowdelta.plans import keys
 from rowdelta.plans.keys import ORDER, ROW, TOKEN, KeySpec
 
@@ -48,26 +50,16 @@ def sorted_diff(first: DataFrame, second: DataFrame, *, key: KeySpec = None, nor
     a, b = keys.sides(first, second, key, normalizer)
     by_token = grouped(a, b)
     section = F.when(F.col("nr") == 0, "only_in_first").when(F.col("nl") == 0, "only_in_second").otherwise("common")
-    value = F.when(F.col("nl") > 0, _row_json(first, "first")).otherwise(_row_json(second, "second"))
+    value = F.when(F.col("nl") > 0, json_value(first, "first")).otherwise(json_value(second, "second"))
     out = by_token.select(TOKEN, F.lit(0).alias("rank"), F.coalesce("o1", "o2").alias("o"), section.alias("section"), value.alias("value"))
     if not include_common:
         out = out.where("section <> 'common'")
     if include_duplicates:
         for rank, side, df, name in ((1, a, first, "duplicates_first"), (2, b, second, "duplicates_second")):
-            least = side.groupBy(TOKEN).agg(F.min(ORDER).alias("m"), F.count("*").alias("n")).where("n > 1").select(F.col(TOKEN).alias("t"), "m")
-            on = [side[TOKEN].getField(f.name).eqNullSafe(least["t"].getField(f.name)) for f in side.schema[TOKEN].dataType.fields]
-            later = side.join(least, on).where(F.col(ORDER) > F.col("m"))
-            out = out.union(later.select(TOKEN, F.lit(rank), ORDER, F.lit(name), _row_json(df, ROW)))
+            out = out.union(repeated(side).select(TOKEN, F.lit(rank), ORDER, F.lit(name), json_value(df, ROW)))
     return out.orderBy(TOKEN, "rank", "o").select("section", "value")
 
 
-def _row_json(df: DataFrame, row: str) -> Column:
-    if df.columns == ["value"]:
-        text = F.to_json(F.struct(F.col(row).getField("value").alias("value")), {"ignoreNullFields": "false"})
-        return F.substring(text, F.lit(len('{"value":') + 1), F.length(text) - F.lit(len('{"value":') + 1))
-    return F.to_json(row, {"ignoreNullFields": "false"})
-
-
 def iter_sorted_diff(first: DataFrame, second: DataFrame, **how) -> Iterator[dict[str, Any]]:
     import json
 

@@ -13,7 +13,7 @@ from rowdelta.sources import readers
 @pytest.fixture
 def files(tmp_path):
     out = {}
-    for name, text in {"a.csv": "id,name\n1,Ann\n2,Bob\n", "b.csv": "id,name\n2,Bob\n3,Cara\n", "a.tsv": "id\tname\n1,5\tA\n", "a.jsonl": '{"id":1}\n\n{"id":2}\n', "b.jsonl": '{"id":2}\n{"id":3}\n', "d.txt": "a\nb\na\nc\nb\n", "semi.csv": "1;x\n2;y\n", "c.csv": "id,name\n1,Ann\n2,Rob\n"}.items():
+    for name, text in {"a.csv": "id,name\n11,fig\n12,plum\n", "b.csv": "id,name\n12,plum\n13,pear\n", "a.tsv": "id\tname\n1,5\tA\n", "a.jsonl": '{"id":1}\n\n{"id":2}\n', "b.jsonl": '{"id":2}\n{"id":3}\n', "d.txt": "moss\nfern\nmoss\nreed\nfern\n", "semi.csv": "1;x\n2;y\n", "c.csv": "id,name\n11,fig\n12,quince\n"}.items():
         out[name] = tmp_path / name
         out[name].write_text(text)
     with gzip.open(tmp_path / "a.csv.gz", "wt") as f:
@@ -28,7 +28,7 @@ def test_readers(spark, files, tmp_path):
     assert readers.read_csv(files["semi.csv"], delimiter=";", has_header=False, fieldnames=["k", "v"]).columns == ["k", "v"]
     assert readers.read_csv(files["semi.csv"], delimiter=";", has_header=False).collect()[0].value == ["1", "x"]
     assert readers.read_jsonl(files["a.jsonl"]).count() == 2
-    assert [r.value for r in readers.read_text(files["d.txt"]).collect()] == list("abacb")
+    assert [r.value for r in readers.read_text(files["d.txt"]).collect()] == ["moss", "fern", "moss", "reed", "fern"]
     spark.range(3).toDF("id").write.parquet(str(tmp_path / "p.parquet"))
     assert readers.read_file(tmp_path / "p.parquet", columns=["id"]).count() == 3
     (tmp_path / "mixed.jsonl").write_text('1\n{"a": 2}\n')
@@ -54,7 +54,7 @@ def test_connectors(spark, files):
     r = rd.compare_sources([User(1, "a"), User(2, "b")], [{"id": 2, "name": "b"}], key="id")
     assert r.stats.common_count == 1 and r.metadata["connectors"]["first"]["name"] == "iterable"
     assert rd.compare_files(files["a.csv"], files["b.csv"], key="id").stats.to_dict()["only_in_first_count"] == 1
-    assert [r.value for r in rd.duplicates_source(rd.TextConnector(files["d.txt"])).collect()] == ["a", "b"]
+    assert [r.value for r in rd.duplicates_source(rd.TextConnector(files["d.txt"])).collect()] == ["moss", "fern"]
     assert {"csv", "pq", "table", "iterable"} <= set(rd.list_connectors())
     rd.register_connector("My-Source", lambda: rd.IterableConnector([1, 2]))
     assert rd.create_connector("my_source").open().count() == 2
@@ -70,10 +70,10 @@ def test_result_files(spark, files, tmp_path, name):
     out = tmp_path / name
     rd.compare_files(files["a.csv"], files["b.csv"], key="id", output=out)
     if name == "r.json":
-        assert json.loads(out.read_text())["only_in_first"] == [{"id": "1", "name": "Ann"}]
+        assert json.loads(out.read_text())["only_in_first"] == [{"id": "11", "name": "fig"}]
     else:
         assert [r["section"] for r in rd.iter_result_rows(out)] == ["only_in_first", "only_in_second", "common"]
-        assert list(rd.iter_result_values(out, ["common"])) == [{"id": "2", "name": "Bob"}]
+        assert list(rd.iter_result_values(out, ["common"])) == [{"id": "12", "name": "plum"}]
     with pytest.raises(rd.UnsupportedFormatError):
         rd.compare_files(files["a.csv"], files["b.csv"], key="id", output=tmp_path / "r.xml")
     assert not list(tmp_path.glob(".r*"))
@@ -88,9 +88,9 @@ def test_cli(spark, files, tmp_path, capsys):
     code, out, _ = run("compare", files["a.csv"], files["b.csv"], "--key", "id", "--summary", "--fail-on-diff")
     assert code == 1 and json.loads(out)["common_count"] == 1 and not json.loads(out)["equal"]
     code, out, _ = run("intersection", files["a.csv"], files["b.csv"], "--key", "id")
-    assert code == 0 and json.loads(out) == [{"id": "2", "name": "Bob"}]
+    assert code == 0 and json.loads(out) == [{"id": "12", "name": "plum"}]
     code, out, _ = run("duplicates", files["d.txt"], "--fail-on-diff")
-    assert code == 1 and json.loads(out) == ["a", "b"]
+    assert code == 1 and json.loads(out) == ["moss", "fern"]
     code, out, _ = run("diff", files["a.csv"], files["c.csv"], "--key", "id", "--field-diff", "--format", "jsonl")
     assert code == 0 and [json.loads(x)["type"] for x in out.splitlines()] == ["metadata", "row_changed", "field_change", "summary"]
     code, out, _ = run("diff", files["a.csv"], files["b.csv"], "--key", "id", "--format", "jsonl", "--max-output-rows", "1", "--fail-on-diff")

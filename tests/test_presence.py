@@ -38,12 +38,12 @@ def test_sections_match_the_model(spark, left, right):
 
 
 def test_keyed_sections_and_iterators(spark):
-    a = spark.createDataFrame([(1, "Ann"), (2, "Bob")], "id int, name string").coalesce(1)
-    b = spark.createDataFrame([(2, "Bea"), (3, "Cara")], "id int, name string").coalesce(1)
+    a = spark.createDataFrame([(70, "larch"), (71, "alder")], "id int, name string").coalesce(1)
+    b = spark.createDataFrame([(71, "rowan"), (88, "maple")], "id int, name string").coalesce(1)
     r = rd.compare_by_key(a, b, "id")
-    assert rows(r.only_in_first) == [(1, "Ann")] and rows(r.only_in_second) == [(3, "Cara")] and rows(r.common) == [(2, "Bob")]
-    assert list(r.iter_unique()) == [{"id": 1, "name": "Ann"}, {"id": 3, "name": "Cara"}]
-    assert rows(rd.unique(a, b, key="id")) == [(1, "Ann"), (3, "Cara")]
+    assert rows(r.only_in_first) == [(70, "larch")] and rows(r.only_in_second) == [(88, "maple")] and rows(r.common) == [(71, "alder")]
+    assert list(r.iter_unique()) == [{"id": 70, "name": "larch"}, {"id": 88, "name": "maple"}]
+    assert rows(rd.unique(a, b, key="id")) == [(70, "larch"), (88, "maple")]
     d = rd.diff(a, b, key="id")
     assert d.common is None and d.stats.common_count == 1 and d.stats.duplicate_first_count == 0
 
@@ -73,12 +73,12 @@ def test_whole_rows_with_nested_values_and_column_order(spark):
 
 
 def test_hash_and_callable_and_normaliser(spark):
-    a, b = frame(spark, [" Alice ", "Bob"], kind="string"), frame(spark, ["alice", "Cara"], kind="string")
+    a, b = frame(spark, [" Oslo\t", "Turin"], kind="string"), frame(spark, ["oSLO", "Quito"], kind="string")
     n = rd.string_normalizer(lower=True, remove_spaces=True)
     assert rd.compare(a, b, key="value", normalizer=n).stats.common_count == 1
     assert rd.compare(a, b, normalizer=n).stats.common_count == 1
     assert rd.compare(a, b, key=lambda d: n(d["value"])).stats.common_count == 1
-    for algorithm in ("md5", "sha1", "sha256", "sha512"):
+    for algorithm in ("md5", "sha1", "sha256", "sha512", "blake2b", "sha3_256", "shake_128"):
         r = rd.compare_by_hash(a, a, algorithm=algorithm)
         assert r.stats.common_count == 2 and r.stats.strategy == f"hash:{algorithm}"
     with pytest.raises(ValueError):
@@ -99,8 +99,8 @@ def test_duplicates(spark):
 
 @pytest.mark.parametrize("how", [{"mode": "disk", "disk_strategy": s} for s in ("sqlite", "hash-partition", "external_sort", "auto")] + [{"mode": "auto", "memory_limit": "1KB"}, {"mode": "disk", "disk_strategy": "hash", "partition_count": 3}])
 def test_backends_are_hints(spark, how):
-    r = rd.compare(frame(spark, [1, 2, 2, 4]), frame(spark, [2, 3, 3, 4]), include_duplicates=True, **how)
-    assert rows(r.only_in_first) == [(1,)] and r.stats.duplicate_second_count == 1
+    r = rd.compare(frame(spark, [31, 55, 55, 90]), frame(spark, [55, 62, 62, 90]), include_duplicates=True, **how)
+    assert rows(r.only_in_first) == [(31,)] and r.stats.duplicate_second_count == 1
     assert r.metadata["backend"] == r.stats.mode
 
 
@@ -110,3 +110,30 @@ def test_options_are_checked(spark):
             rd.compare(frame(spark, [1]), frame(spark, [1]), **bad)
     assert rd.compare(frame(spark, []), frame(spark, [])).stats.first_count == 0
     assert rd.compare(frame(spark, [1]), frame(spark, [1]), include_stats=False).stats == rd.CompareStats()
+
+
+@pytest.mark.parametrize("order", [None, "o"])
+def test_rows_of_all_sections_are_those_of_each_and_group_once(spark, order):
+    a = spark.createDataFrame([(5, "e", 9), (3, None, 1), (5, "x", 2), (8, "q", 4)], "k int, v string, o int").coalesce(1)
+    b = spark.createDataFrame([(8, "r", 3), (1, "s", 2), (1, "t", 1)], "k int, v string, o int").coalesce(1)
+    for duplicates in (False, True):
+        r = rd.compare(a, b, key="k", include_duplicates=duplicates, order_by=order)
+        apart = rd.CompareResult(r.sections, r.counter)
+        assert rows(r.rows()) == rows(apart.rows())
+    plan = rd.compare(a, b, key="k").rows()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
+
+
+def test_sections_of_a_written_result_come_from_its_file(spark, tmp_path):
+    a, b = frame(spark, [31, 55, None]), frame(spark, [55, 62])
+    for name in ("w.jsonl", "w.csv"):
+        r = rd.compare(a, b, output=tmp_path / name)
+        assert list(r.iter_section("only_in_first")) == [31, None] and list(r.iter_unique()) == [31, None, 62]
+        (tmp_path / name).write_text((tmp_path / name).read_text().replace("31", "32"))
+        assert next(r.iter_unique()) == 32
+
+
+def test_bloom_candidates_with_null_and_repeated_values(spark):
+    a, b = frame(spark, [7, 7, None, 9]), frame(spark, [9, None])
+    c = rd.probabilistic_diff_candidates(a, b, key="value", false_positive_rate=1e-6)
+    assert sorted(rows(c.only_in_first), key=str) == [(7,), (7,), (None,)] and rows(c.only_in_second) == [(None,)]

@@ -5,6 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Rows of an Arrow batch of documents: one slice or a little less of common texts. Spark's 10,000 are 25 MB of text for each
+#: task, held a few times over on both sides of the pipe.
+ROWS, ROWS_KEY = 1536, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Sets the rows of an Arrow batch where the session leaves Spark's default; for the session, as results are lazy."""
+    if int(spark.conf.get(ROWS_KEY, "10000")) == 10_000:
+        spark.conf.set(ROWS_KEY, str(ROWS))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -54,6 +54,7 @@ def described(source: DataFrame, size: int) -> DataFrame:
     from rowdelta.llm.simhash import check_bits
 
     kind = source.schema["doc"].dataType.simpleString()
+    arrow.bounded(source.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in arrow.slices(batches, most=1 << 20):

@@ -78,6 +78,7 @@ def own_of(text: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(doc, own, fp): the fingerprint as a signed 64-bit integer."""
     source = source_of(docs, id_col, text_col)
+    arrow.bounded(docs.sparkSession)
     kind = source.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -201,6 +201,7 @@ def _regression(rows: list[list[int]], soft: np.ndarray, size: int, decay: float
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
     """From the labelled rows that held_out() leaves."""
+    arrow.bounded(docs.sparkSession)
     marked = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").alias("doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     few = marked.where(~held_out(F.col("doc"))).orderBy(F.xxhash64("doc"), "doc").limit(train_rows)  # at most train_rows narrow rows are broadcast
     train = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(few), "doc")
@@ -230,6 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a score from 0 to 1; a column that score_col names already is replaced."""
+    arrow.bounded(docs.sparkSession)
     schema = docs.drop(score_col).schema
     names = schema.names
 

@@ -58,7 +58,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, cache = table(spark, sf_dir, "documents"), scratch.folder(spark, "cache")
     marked = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     with scratch.released(spark):
-        token_counts.count_tokens(docs.join(marked, "doc_id", "left_semi"), cache)
+        token_counts.count_tokens(docs, cache, ids=marked)
     return token_counts.count_tokens(docs, cache).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 

@@ -108,5 +108,29 @@ def matched(big: DataFrame, small: DataFrame, on: str | Column | list, how: str)
     return big.join(F.broadcast(small) if few(small) else small, on, how)
 
 
+#: Row numbers of a bitmap.
+BITMAP = 8 * 4096
+
+
+def among(big: DataFrame, places: DataFrame, at: str, group: str | None = None, inside: bool = True) -> DataFrame:
+    """Rows of big whose row number `at` (in its `group`) is in the written `places`, or with inside=False is not.
+
+    The places go to all executors as bitmaps, an eighth of a byte for each row that big has, so wide rows stay where they are up to
+    some 40 million of them. Bitmaps beyond the bounds of a broadcast are not sent: then big is shuffled. To be read within the `tables` around it.
+    """
+    keys, place = [group] if group else [], F.pmod(F.col(at), F.lit(BITMAP))
+    bits = places.groupBy(*(F.col(k).alias("__group") for k in keys), F.expr(f"`{at}` div {BITMAP}").alias("__part")).agg(F.bitmap_construct_agg(place).alias("b"), F.max(place).alias("m"))
+    bits = written(bits.withColumn("__bits", F.expr("substring(b, 1, int(m div 8) + 1)")).drop("b", "m"), "bitmaps")
+    if not few(bits):
+        return big.join(places, [*keys, at], "left_semi" if inside else "left_anti")
+    on = F.expr(f"`{at}` div {BITMAP}") == F.col("__part")
+    for k in keys:
+        on &= F.col(k) == F.col("__group")
+    byte = F.expr(f"int(conv(hex(substring(__bits, int(pmod(`{at}`, {BITMAP}) div 8) + 1, 1)), 16, 10))")
+    found = F.coalesce(F.expr(f"shiftright(__byte, int(pmod(`{at}`, 8))) % 2 = 1"), F.lit(False))
+    both = big.join(F.broadcast(bits), on, "inner" if inside else "left").withColumn("__byte", byte)
+    return both.where(found if inside else ~found).select(*(F.col(f"`{c}`") for c in big.columns))
+
+
 def empty(df: DataFrame) -> bool:
     return not df.take(1)

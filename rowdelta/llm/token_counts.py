@@ -3,7 +3,8 @@
 The cache is a Parquet table (content_digest, tokenizer_digest, n_tokens) in shared storage. A document's content
 is normalised no further than its tokenizer ignores: a vocabulary that drops white space has runs of it folded to
 one space, any other keeps the text as it is. The distinct digests of the documents are joined to the cache; of what
-is missing, each distinct content is encoded once and its count appended. The answer for each digest is then a table of its
+is missing, the first text of each digest is encoded where it lies, found by its file and row, and its count appended: digests
+are shuffled, texts are not (see scratch.among). The answer for each digest is then a table of its
 own, to which the documents are joined: both sides are plain scans, so adaptive execution splits a digest that a
 third of all rows have. Copies meet in a partial aggregate before every other shuffle.
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowdelta.llm import arrow, scratch, tokens
+from rowdelta.llm import arrow, exact_dedup, scratch, tokens
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -71,32 +72,33 @@ def opened(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return mine.groupBy("content_digest").agg(F.max("n_tokens").alias("stored"))
 
 
-def count_tokens(docs: DataFrame, cache: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id_col, n_bytes (UTF-8), n_tokens. cache: folder of the cache; made if absent."""
+def count_tokens(docs: DataFrame, cache: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids: DataFrame | None = None) -> DataFrame:
+    """One row for each document: id_col, n_bytes (UTF-8), n_tokens. cache: folder of the cache; made if absent.
+
+    ids: a column id_col; only documents with one of them are counted.
+    """
     spark, path = docs.sparkSession, path or tokens.vocabulary()
     version, folds = tokenizer_digest(path), counter(path)[1]
-    source = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = source.select("doc", "text", F.unhex(F.sha2(normalised(F.col("text"), folds), 256)).alias("content_digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)[0]
         for part, texts in arrow.slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(texts), pa.int64())], ["content_digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count(texts), pa.int64())], ["file", "place", "n_tokens"])
 
     with scratch.tables(spark) as kept:
-        rows = scratch.written(keyed.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest"), "digests")
-        asked = rows.select("content_digest").distinct().join(opened(spark, cache, version), "content_digest", "left")
-        asked = scratch.written(asked, "asked")
-        missing = asked.where("stored IS NULL").select("content_digest")
+        source = exact_dedup.located(docs, id_col, text_col).select("doc", F.coalesce("text", F.lit("")).alias("text"), "locator.file", "locator.place")
+        if ids is not None:
+            wanted = source.select("doc", "file", "place").join(ids.select(F.col(id_col).alias("doc")), "doc", "left_semi")
+            source = scratch.among(source, scratch.written(wanted.select("file", "place"), "wanted"), "place", "file")
+        digest = F.unhex(F.sha2(normalised(F.col("text"), folds), 256)).alias("content_digest")
+        rows = scratch.written(source.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), digest, "file", "place"), "digests")
+        asked = rows.groupBy("content_digest").agg(F.min(F.struct("file", "place")).alias("first")).join(opened(spark, cache, version), "content_digest", "left")
+        asked = scratch.written(asked.select("content_digest", "first.file", "first.place", "stored"), "asked")
+        missing = asked.where("stored IS NULL").select("content_digest", "file", "place")
         held = asked.where("stored IS NOT NULL")
-        texts = keyed.select("content_digest", "text")
-        once = lambda t: t.groupBy("content_digest").agg(F.first("text").alias("text"))
-        if scratch.few(missing):
-            texts = once(texts.join(F.broadcast(missing), "content_digest", "left_semi"))
-        else:  # copies meet before the shuffle, which the join then shares
-            texts = once(texts).join(missing, "content_digest", "left_semi")
-        counts = texts.mapInArrow(run, "content_digest binary, n_tokens long")
-        fresh = scratch.written(counts, "fresh")
+        texts = scratch.among(source.select("file", "place", "text"), missing.select("file", "place"), "place", "file")
+        counts = scratch.written(texts.mapInArrow(run, "file string, place long, n_tokens long"), "counts")
+        fresh = scratch.written(missing.join(counts, ["file", "place"]).select("content_digest", "n_tokens"), "fresh")
         fresh.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
         answers = scratch.written(held.select("content_digest", F.col("stored").alias("n_tokens")).union(fresh), "answers")
         kept += [rows, answers]

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowdelta.llm import automaton, bpe, components, exact_dedup, packing, pii, secret_scan, shingle_join, simhash, substring_dedup, token_counts, tokens, toxicity, vector_dedup
+from rowdelta.llm import automaton, bpe, components, exact_dedup, packing, pii, scratch, secret_scan, shingle_join, simhash, substring_dedup, token_counts, tokens, toxicity, vector_dedup
 
 WORDS = "the of river stone blue window under paper small garden light seven table north quiet idea music water green letter".split()
 
@@ -710,3 +710,65 @@ def test_pipeline_on_the_smallest_tables(spark):
     table = spark.read.parquet(f"{d}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, table, d).columns == table.columns
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_rows_among_places(spark, monkeypatch, most):
+    """By bitmaps, and by a join where these are beyond a broadcast's bounds."""
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", most)
+    rng = random.Random(6)
+    at = [0, 1, 7, 8, 32767, 32768, 65535, 1 << 33, (1 << 33) + 40_000, *rng.sample(range(200_000), 300)]
+    rows = [(g, a, f"{g}{a}") for g in "xyz" for a in sorted(set(at))]
+    some = [r[:2] for r in rows if r[0] < "z" and rng.random() < 0.4]
+    big = spark.createDataFrame(rows, "file string, place long, wide string")
+    with scratch.tables(spark):
+        places = scratch.written(spark.createDataFrame(some + some[:9], "file string, place long"), "places")
+        for inside in (True, False):
+            got = pairs(scratch.among(big, places, "place", "file", inside), *big.columns)
+            assert sorted(got) == [r for r in rows if (r[:2] in some) == inside]
+        got = pairs(scratch.among(big, places.where("file = 'x'").select("place"), "place"), *big.columns)
+        assert sorted(got) == [r for r in rows if ("x", r[1]) in some]
+        assert scratch.among(big, places.where("false"), "place", "file").count() == 0
+        assert scratch.among(big, places.where("false"), "place", "file", False).count() == len(rows)
+
+
+def shuffled(spark, run):
+    """Bytes of shuffles that run() writes where Spark broadcasts nothing by itself."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before, at = {k: spark.conf.get(k, None) for k in keys}, total()
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        run()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return total() - at
+
+
+def test_token_counts_leave_texts_where_they_are(spark, tmp_path, monkeypatch):
+    """With more digests than a broadcast holds, too, and where only some ids are asked for."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", 20)
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.getrandbits(48):x}" for _ in range(300)) for _ in range(400)]
+    texts += texts[:50] + [t.replace(" ", "\n") for t in texts[50:60]] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs, library = spark.read.parquet(str(tmp_path / "docs")), Tokenizer.from_file(tokens.vocabulary())
+    some, cache, got = docs.where("doc_id % 3 = 0").select("doc_id"), str(tmp_path / "cache"), []
+
+    def run():
+        got.append(pairs(token_counts.count_tokens(docs, cache, ids=some), "doc_id", "n_bytes", "n_tokens"))
+        got.append(pairs(token_counts.count_tokens(docs, cache), "doc_id", "n_bytes", "n_tokens"))
+
+    moved = shuffled(spark, run)
+    want = [(i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts)]
+    assert sorted(got[0]) == want[::3] and sorted(got[1]) == want
+    assert spark.read.parquet(cache).count() == 401
+    assert moved < 0.25 * sum(len(t or "") for t in texts)

@@ -36,9 +36,13 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
+#: Words that a packing worker keeps: fewer than alone, as the executor's memory still holds what earlier stages have left.
+WORDS = 200_000
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, with their ids."""
-    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
+    return packing.pack(docs, words=WORDS).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [("toxicity", clean), ("exact_dedup", distinct), ("simhash", unlike), ("pii", private), ("packing", packed)]

@@ -10,12 +10,15 @@ from pyspark.sql import SparkSession
 #: Rows of an Arrow batch of documents: one slice or a little less of common texts. Spark's 10,000 are 25 MB of text for each
 #: task, held a few times over on both sides of the pipe.
 ROWS, ROWS_KEY = 1536, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that a Parquet scan decodes at a time. Spark's 4,096 of texts or hashes lie in arrays of 16 to 32 MB, made anew for each file.
+SCANNED, SCANNED_KEY = 512, "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def bounded(spark: SparkSession) -> None:
-    """Sets the rows of an Arrow batch where the session leaves Spark's default; for the session, as results are lazy."""
-    if int(spark.conf.get(ROWS_KEY, "10000")) == 10_000:
-        spark.conf.set(ROWS_KEY, str(ROWS))
+    """Sets the rows of batches where the session leaves Spark's defaults; for the session, as results are lazy."""
+    for key, default, rows in ((ROWS_KEY, 10_000, ROWS), (SCANNED_KEY, 4096, SCANNED)):
+        if int(spark.conf.get(key, str(default))) == default:
+            spark.conf.set(key, str(rows))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

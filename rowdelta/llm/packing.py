@@ -89,15 +89,18 @@ class Worker:
         return self.capacity if left >= self.capacity else 1 << max(0, left.bit_length() - 1)
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece: id_col, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", words: int = tokens.CACHE_PIECES) -> DataFrame:
+    """One row for each piece: id_col, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
+
+    words: those whose ids a worker keeps; fewer take less memory and more time.
+    """
     path = vocabulary or tokens.vocabulary()
     end = int(end_id).to_bytes(4, "little")
     source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     kind = source.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, worker = tokens.encoder(path), Worker(TaskContext.get().partitionId(), capacity)
+        encoder, worker = tokens.encoder(path, words), Worker(TaskContext.get().partitionId(), capacity)
         doc_type = None
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
@@ -105,7 +108,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
             longs = lambda x: pa.array(np.array(x, np.int64))
             return pa.RecordBatch.from_arrays([pa.array(c[0], doc_type), longs(c[1]), longs(c[2]), pa.array(c[3], pa.binary()), longs(c[4]), longs(c[5]), longs(c[6])], ["doc", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for part, texts in arrow.slices(batches):
+        for part, texts in arrow.slices(batches, most=min(4 << 20, 5 * words)):  # a slice's words are all held
             doc_type = part.column(0).type
             rows = []
             for doc, ids in zip(part.column(0).to_pylist(), encoder.packed(texts)):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowdelta.llm import arrow, cells, scratch
+from rowdelta.llm import arrow, cache, cells, scratch
 from rowdelta.llm.components import components
 
 #: Check bits of 256 in which candidates differ at most.
@@ -57,6 +57,7 @@ def described(source: DataFrame, size: int) -> DataFrame:
     arrow.bounded(source.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache.released()
         for part, texts in arrow.slices(batches, most=1 << 20):
             sets, fps = zip(*(shingles(t, size) for t in texts))
             yield pa.RecordBatch.from_arrays([
@@ -242,6 +243,12 @@ def second_round(met: DataFrame, links: DataFrame, limit: int = MEMBERS) -> Data
     return rows.select("key", F.explode(F.concat(mixed, rest)).alias("cell"), "node", "class", "probe")
 
 
+def with_hashes(places: DataFrame, has: DataFrame) -> DataFrame:
+    """places (with node) with the hashes of (node, hashes); those of nodes without a place are not shuffled."""
+    places = scratch.written(places, "places")
+    return places.join(scratch.among(has, places.select("node"), "node"), "node")
+
+
 def labelled(source: DataFrame, size: int, least: float, limit: int = cells.LIMIT, members: int = MEMBERS) -> DataFrame:
     """(doc, own, grp, component) of each row of (doc, text, own): its group and the group's smallest id."""
     from rowdelta.llm import simhash
@@ -251,15 +258,14 @@ def labelled(source: DataFrame, size: int, least: float, limit: int = cells.LIMI
         same = rows.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("n")).where("n > 1").select("digest", "node")
         same = scratch.written(same, "repeated")
         copies = scratch.written(rows.select("row", "digest").join(same, "digest").where("row <> node").select("row", "node"), "copies")
-        sets = scratch.matched(rows, copies.select("row"), "row", "left_anti").withColumnRenamed("row", "node")
+        sets = scratch.among(rows, copies.select("row"), "row", inside=False).withColumnRenamed("row", "node")
         links = candidates(tokens(sets, least, frequent(sets)), least, limit).union(simhash.compared(simhash.placed(sets), limit=limit))
         met = scratch.written(components(links), "candidates")
-        has = sets.select("node", "hashes")
-        both = lambda places: places.join(has, "node")
-        found = scratch.written(verified(both(first_round(met, members)), least), "verified")
+        has = rows.select(F.col("row").alias("node"), "hashes")
+        found = scratch.written(verified(with_hashes(first_round(met, members), has), least), "verified")
         places = second_round(met, found, members)
         if places is not None:
-            found = found.union(scratch.written(verified(both(places), least), "verified"))
+            found = found.union(scratch.written(verified(with_hashes(places, has), least), "verified"))
         nodes = rows.select("row", "doc").join(copies, "row", "left").select(F.coalesce("node", "row").alias("node"), "doc")
         least_ids = scratch.written(nodes.groupBy("node").agg(F.min("doc").alias("least")), "nodes")
         groups = scratch.written(simhash.grouped(least_ids, found), "labels")

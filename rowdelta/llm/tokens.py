@@ -9,7 +9,6 @@ call, and pieces with anything unusual (specials, digits, inner punctuation) by
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import unicodedata
@@ -17,6 +16,7 @@ from array import array
 
 import numpy as np
 
+from rowdelta.llm import cache
 from rowdelta.llm.bpe import PairTable, side_by_side
 from rowdelta.llm.cache import Generations
 
@@ -174,7 +174,6 @@ class PieceEncoder:
         return [b"".join(map(get, ws)) for ws in words]
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, most: int = CACHE_PIECES) -> PieceEncoder:
     """One encoder for each worker process, so its dictionary outlives a task."""
-    return PieceEncoder(path)
+    return cache.kept(("pieces", path, most), lambda: PieceEncoder(path, most))

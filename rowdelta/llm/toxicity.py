@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowdelta.llm import arrow
+from rowdelta.llm import arrow, cache
 
 TRAIN_ROWS = 20_000
 #: Of the labelled texts with a learned term, at least so large a share is toxic, and at least half even at so many standard
@@ -83,6 +83,7 @@ def _lexicon(train: DataFrame) -> dict[str, float]:
     """The terms that mark toxic rows most surely, with the bound of their toxic share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache.released()
         for part, texts in arrow.slices(batches, most=6 << 20):
             counts = (Counter(), Counter())
             for t, y in zip(texts, part.column(part.schema.get_field_index("toxic")).to_pylist()):
@@ -210,6 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     number, voters = {t: i for i, t in enumerate(names)}, _voters(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache.released()
         for part, texts in arrow.slices(batches):
             rows, votes = [], []
             for t in texts:
@@ -236,6 +238,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache.released()
         for part, texts in arrow.slices(batches, text_col):
             scores = pa.array([model.score(t.decode()) for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*part.columns, scores], [*names, score_col])

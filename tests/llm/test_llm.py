@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowdelta.llm import automaton, bpe, components, exact_dedup, packing, pii, scratch, secret_scan, shingle_join, simhash, substring_dedup, token_counts, tokens, toxicity, vector_dedup
+from rowdelta.llm import arrow, automaton, bpe, cache, components, exact_dedup, packing, pii, scratch, secret_scan, shingle_join, simhash, substring_dedup, token_counts, tokens, toxicity, vector_dedup
 
 WORDS = "the of river stone blue window under paper small garden light seven table north quiet idea music water green letter".split()
 
@@ -772,3 +772,51 @@ def test_token_counts_leave_texts_where_they_are(spark, tmp_path, monkeypatch):
     assert sorted(got[0]) == want[::3] and sorted(got[1]) == want
     assert spark.read.parquet(cache).count() == 401
     assert moved < 0.25 * sum(len(t or "") for t in texts)
+
+
+def test_near_duplicates_leave_other_hashes_where_they_are(spark, tmp_path, monkeypatch):
+    """Only texts with a candidate have their hashes shuffled; copies are left out without a shuffle of the others."""
+    rng = random.Random(9)
+    texts = [" ".join(f"{rng.getrandbits(32):x}" for _ in range(8000)) for _ in range(30)]
+    texts += [texts[0] + " end", texts[1].upper(), texts[2] + " more"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs, left = spark.read.parquet(str(tmp_path / "docs")), []
+    monkeypatch.setattr(shingle_join, "candidates", lambda points, least, limit: spark.createDataFrame([], "a long, b long"))  # the anchors alone find these
+    moved = shuffled(spark, lambda: left.extend(r.doc_id for r in simhash.survivors(docs, **simhash.FIVE_WORDS).collect()))
+    assert sorted(left) == list(range(30))
+    assert moved < 8 * 8000 * 15
+
+
+def test_workers_keep_one_coder_at_a_time(spark):
+    made = []
+    make = lambda x: lambda: made.append(x) or x
+    assert [cache.kept(k, make(k)) for k in "aabba"] == [*"aabba"] and made == [*"aba"]
+    cache.released()
+    assert cache.kept("a", make("a")) == "a" and made == [*"abaa"]
+    cache.released()
+    first = tokens.encoder(tokens.vocabulary())
+    assert tokens.encoder(tokens.vocabulary()) is first and tokens.encoder(tokens.vocabulary(), 10).kept.most == 10
+    assert tokens.encoder(tokens.vocabulary()) is not first
+
+
+def test_packing_with_few_kept_words(spark, docs):
+    cols = ("doc_id", "start", "length", "ids", "doc_tokens")
+    some = docs.where("doc_id <> 3").select("doc_id", "text").coalesce(1)
+    assert sorted(pairs(packing.pack(some, words=10), *cols)) == sorted(pairs(packing.pack(some), *cols))
+
+
+def test_batches_of_documents_are_bounded(spark):
+    keys = (arrow.ROWS_KEY, arrow.SCANNED_KEY)
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        arrow.bounded(spark)
+        assert [int(spark.conf.get(k)) for k in keys] == [arrow.ROWS, arrow.SCANNED]
+        for k in keys:
+            spark.conf.set(k, "77")
+        arrow.bounded(spark)
+        assert [spark.conf.get(k) for k in keys] == ["77", "77"]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
